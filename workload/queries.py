@@ -143,7 +143,7 @@ def featurize_rows(spark, sf):
         return {"letters": len(row["p_name"].replace(" ", "")), "ratio": len(row["p_name"]) / row["p_size"]}
 
     return feat.featurize(part, describe, "letters long, ratio double", ["p_partkey"]).select(
-        "p_partkey", "letters", F.round("ratio", 6).alias("ratio"), "is_valid"
+        "p_partkey", F.coalesce("letters", F.lit(-1)).alias("letters"), F.round("ratio", 6).alias("ratio"), "is_valid"
     )
 
 
