@@ -61,6 +61,9 @@ class Euclidean:
             square[s, t] = ((a[s] - b[t]) ** 2).sum(1)
         return np.sqrt(square)
 
+    def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 1.0 - self.matrix(a, b)
+
     def exact(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.empty(len(i))
         for lo in range(0, len(i), 100_000):
@@ -101,8 +104,11 @@ class Cosine(Euclidean):
         norm = np.sqrt((block * block).sum(1, keepdims=True))
         return np.divide(block, norm, out=np.zeros_like(block), where=norm > 0)
 
+    def similarity(self, a, b):
+        return self._unit(a) @ self._unit(b).T
+
     def matrix(self, a, b):
-        return 1.0 - self._unit(a) @ self._unit(b).T
+        return 1.0 - self.similarity(a, b)
 
     def exact(self, a, b, i, j):
         ua, ub = self._unit(a), self._unit(b)
@@ -173,10 +179,13 @@ class Tanimoto:
         # float32 counts are exact below 2^24 bits.
         return (a.dense(universe) @ b.dense(universe).T).astype(np.float64)
 
-    def matrix(self, a: BitSets, b: BitSets) -> np.ndarray:
+    def similarity(self, a: BitSets, b: BitSets) -> np.ndarray:
         shared = self.shared(a, b)
         union = a.sizes[:, None] + b.sizes[None, :] - shared
-        return 1.0 - np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+        return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+    def matrix(self, a: BitSets, b: BitSets) -> np.ndarray:
+        return 1.0 - self.similarity(a, b)
 
     def exact(self, a, b, i, j):
         return self.matrix(a, b)[i, j]

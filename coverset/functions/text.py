@@ -28,9 +28,8 @@ def normalise_smiles_text(column: str | Column, largest_fragment: bool = False)
     plain = F.regexp_replace(F.trim(c), ISOTOPE_LABEL, "[$1")
     if not largest_fragment:
         return plain
-    parts = F.split(plain, r"\.")
-    longest = F.array_max(F.transform(parts, lambda p: F.length(p)))
-    return F.element_at(F.filter(parts, lambda p: F.length(p) == longest), 1)
+    longer = lambda kept, part: F.when(F.length(part) > F.length(kept), part).otherwise(kept)
+    return F.aggregate(F.split(plain, r"\."), F.lit(""), longer)
 
 
 def text_counts(df: DataFrame, column: str, patterns: dict[str, str] | None = None) -> DataFrame:

@@ -41,19 +41,22 @@ def blocked(
     schema: str,
     bounded_cells: bool = True,
     block_rows: int | None = None,
+    one_cell: bool = False,
 ) -> DataFrame:
     """Run ``kernel`` on every pair of blocks of equal ``cell``.
 
     Both sides carry ``cell`` and ``id``. ``bounded_cells`` states that the
     number of cells is limited by construction, so their sizes may be broadcast.
+    ``one_cell`` says that all rows share a cell: two counts replace the sizes.
     """
     cores = max(left.sparkSession.sparkContext.defaultParallelism, 1)
+    share = math.sqrt(2.0 * cores)
     if block_rows is None:
-        spread = F.ceil(F.greatest("n_left", "n_right") / F.lit(math.sqrt(2.0 * cores)))
+        spread = F.ceil(F.greatest("n_left", "n_right") / F.lit(share))
         rows = F.least(F.lit(MAX_BLOCK), F.greatest(F.lit(MIN_BLOCK), spread))
     else:
         rows = F.lit(block_rows)
-    sizes = (
+    sizes = None if one_cell else (
         left.groupBy("cell").agg(F.count("*").alias("n_left"))
         .join(right.groupBy("cell").agg(F.count("*").alias("n_right")), "cell")
         .select(
@@ -63,8 +66,16 @@ def blocked(
         )
     )
 
+    blocks = {}
+    if one_cell:
+        n_left, n_right = left.count(), right.count()
+        fixed = block_rows or min(MAX_BLOCK, max(MIN_BLOCK, math.ceil(max(n_left, n_right) / share)))
+        blocks = {"left_blocks": math.ceil(n_left / fixed), "right_blocks": math.ceil(n_right / fixed)}
+
     def spread_over(side: DataFrame, mine: str, theirs: str, own: str, other: str) -> DataFrame:
-        if bounded_cells:
+        if one_cell:
+            placed = side.withColumns({name: F.lit(max(n, 1)) for name, n in blocks.items()})
+        elif bounded_cells:
             placed = side.join(F.broadcast(sizes), "cell")
         else:
             placed = lookup_join(side, sizes, "cell", "id", bytes_per_row=32)
@@ -91,6 +102,8 @@ def blocked(
 class OneCell:
     """Every row may pair with every row: only the block cut applies."""
 
+    single = True
+
     def left(self, df: DataFrame) -> DataFrame:
         return df.withColumn("cell", F.lit(0).cast("long"))
 
@@ -109,6 +122,8 @@ class PivotCells:
     layout; any choice gives the same pairs.
     """
 
+    single = False
+
     def __init__(self, metric, cutoff: float, pivots: list):
         self.metric = metric
         self.reach = metric.bound_cutoff(cutoff)
@@ -159,6 +174,8 @@ class BitCells:
     copies rows less often than cutting the band into blocks would.
     """
 
+    single = False
+
     def __init__(self, cutoff: float, ranks: list[int] | None, split: list[int], existing: list[int]):
         self.similar = 1.0 - cutoff
         self.ranks = ranks

@@ -51,6 +51,14 @@ def _roots(edges: DataFrame) -> DataFrame:
             return parent
 
 
+def component_roots(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """``(label, root)`` for every node that has an edge ``(a, b)`` of a durable table."""
+    if edges.limit(small_edges + 1).count() <= small_edges:
+        return _finish(edges)
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    return connected_components(ends, edges, small_edges).select(F.col("id").alias("label"), F.col("comp").alias("root"))
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """``(id, comp)``: the least node id reachable from every node of ``nodes`` (``id``).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 
 from coverset.functions.metrics import as_items, metric_named
 from coverset.operators.cells import OneCell, blocked
-from coverset.operators.components import SMALL_EDGES, connected_components
+from coverset.operators.components import SMALL_EDGES, component_roots, connected_components
 from coverset.operators.knn import k_nearest
 from coverset.session import lookup_join, materialise
 
@@ -61,14 +62,14 @@ def spanning_tree(
     edges come first; a row searches the blocks only when a row it did not list
     could still beat the best listed edge of its component.
     """
-    comps = points.select("id", F.col("id").alias("comp"))
+    comps, fresh = points.select("id", F.col("id").alias("comp")), []
     last = near.groupBy("id").agg(F.max("dist").alias("listed"))
     points = materialise(points.join(last, "id", "left").withColumn("listed", F.coalesce("listed", F.lit(0.0))))
-    tree = None
     while True:
         placed = materialise(points.join(comps, "id"))
         if placed.select("comp").distinct().limit(2).count() < 2:
-            return tree
+            return materialise(reduce(DataFrame.unionByName, fresh))
+        comps = placed.select("id", "comp")
         labels = comps.select(F.col("id").alias("other"), F.col("comp").alias("other_comp"))
         listed = near.join(comps, "id").join(labels, "other").filter(F.col("comp") != F.col("other_comp"))
         candidates = listed.groupBy("comp").agg(
@@ -82,19 +83,17 @@ def spanning_tree(
         cell = OneCell()
         searched = blocked(
             cell.left(open_rows), cell.right(placed.drop("listed")), _outgoing,
-            "comp long, other long, w double, a long, b long", True, block_rows,
+            "comp long, other long, w double, a long, b long", True, block_rows, True,
         )
         searched = searched.groupBy("comp").agg(
             F.min(F.struct(F.struct("w", "a", "b").alias("edge"), F.col("other").alias("other"))).alias("best")
         )
         chosen = candidates.unionByName(searched).groupBy("comp").agg(F.min("best").alias("best"))
         chosen = materialise(chosen.select("comp", "best.other", "best.edge"))
-        fresh = chosen.select("edge.w", "edge.a", "edge.b").distinct()
-        tree = materialise(fresh if tree is None else tree.unionByName(fresh))
-        merged = connected_components(
-            chosen.select(F.col("comp").alias("id")), chosen.select(F.col("comp").alias("a"), F.col("other").alias("b")), small_edges
-        ).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-        comps = materialise(lookup_join(comps, merged, "comp", "id", bytes_per_row=32).select("id", F.col("root").alias("comp")))
+        fresh.append(chosen.select("edge.w", "edge.a", "edge.b").distinct())
+        merged = component_roots(chosen.select(F.col("comp").alias("a"), F.col("other").alias("b")), small_edges)
+        merged = merged.withColumnRenamed("label", "comp")
+        comps = lookup_join(comps, merged, "comp", "id", bytes_per_row=32).select("id", F.col("root").alias("comp"))
 
 
 def growth_levels(nodes: DataFrame, tree: DataFrame, size: int) -> DataFrame:
@@ -113,7 +112,7 @@ def growth_levels(nodes: DataFrame, tree: DataFrame, size: int) -> DataFrame:
     grown = nodes.select("id").join(links, "id", "left").select(
         "id", F.array("id").alias("members"), F.col("links").alias("border"), F.lit(None).cast(EDGE).alias("level")
     )
-    for _ in range(size - 1):
+    for number in range(1, size):
         step = grown.withColumn("next", F.array_min("border"))
         joined = lookup_join(
             step.withColumn("to", F.col("next.to")),
@@ -126,12 +125,12 @@ def growth_levels(nodes: DataFrame, tree: DataFrame, size: int) -> DataFrame:
             F.concat("border", F.coalesce("more", F.array().cast("array<struct<w: double, a: bigint, b: bigint, to: bigint>>"))),
             lambda e: ~F.array_contains(F.col("members"), e["to"]),
         )
-        grown = materialise(
-            joined.withColumn("members", members).select(
-                "id", "members", F.slice(F.array_sort(open_links), 1, size).alias("border"),
-                F.greatest(F.coalesce("level", taken), taken).alias("level"),
-            )
+        grown = joined.withColumn("members", members).select(
+            "id", "members", F.slice(F.array_sort(open_links), 1, size).alias("border"),
+            F.greatest(F.coalesce("level", taken), taken).alias("level"),
         )
+        if number % 4 == 0:
+            grown = materialise(grown)
     return grown.select("id", "level")
 
 

@@ -126,7 +126,7 @@ def similarity_stats(
         )
 
     cell = OneCell()
-    across = blocked(cell.left(groups), cell.right(groups), kernel, "shared long, whole long, n long", True, block_rows)
+    across = blocked(cell.left(groups), cell.right(groups), kernel, "shared long, whole long, n long", True, block_rows, True)
     size = F.size("item").cast("long")
     copies = groups.filter(F.col("copies") > 1).groupBy(size.alias("shared"), size.alias("whole")).agg(
         F.sum(F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("n")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -13,6 +15,7 @@ from coverset.functions.metrics import as_items
 
 # Below this many rows the best of several starts is kept.
 RESTART_BELOW, RESTARTS = 10_000, 10
+PARALLEL_FITS = 5
 
 
 @dataclass
@@ -43,15 +46,16 @@ def kmeans(
     if n == 0:
         raise ValueError("no usable rows to cluster")
     runs = restarts if restarts is not None else (RESTARTS if n < RESTART_BELOW else 1)
-    best = None
-    for step in range(max(runs, 1)):
+
+    def fit(step: int):
         model = KMeans(
             featuresCol="vector", predictionCol="cluster_id", k=min(k, n), seed=seed + step, maxIter=max_iter
         ).fit(items)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    cost, model = best
+        return float(model.summary.trainingCost), step, model
+
+    # Independent starts share the cluster, like the folds of a cross-validation.
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        cost, _, model = min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(max(runs, 1))), key=lambda r: r[:2])
     # One centre per cluster: k rows, made and held by the fitted model.
     centers = df.sparkSession.createDataFrame(
         [(c, [float(v) for v in center]) for c, center in enumerate(model.clusterCenters())],
@@ -60,4 +64,4 @@ def kmeans(
     source = as_items(df, id_col, item_col, "euclidean").withColumn("vector", array_to_vector("item"))
     assignment = model.transform(source.select("id", "vector")).select("id", F.col("cluster_id").cast("long").alias("cluster_id"))
     items.unpersist()
-    return KMeansResult(assignment, centers, float(cost), model)
+    return KMeansResult(assignment, centers, cost, model)

@@ -61,7 +61,7 @@ def k_nearest(
     pivots = min(items.count() // (block_rows or MAX_BLOCK), MAX_PIVOTS)
     if pivots < 2 or metric == "cosine":
         cell = OneCell()
-        return _best(blocked(cell.left(items), cell.right(items), kernel, PAIR, True, block_rows), k)
+        return _best(blocked(cell.left(items), cell.right(items), kernel, PAIR, True, block_rows, True), k)
     chosen = [
         list(r["item"]) for r in items.orderBy(F.md5(F.col("id").cast("string")), "id").select("item").limit(pivots).collect()
     ]

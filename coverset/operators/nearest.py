@@ -73,7 +73,8 @@ def _pivot_nearest(items: DataFrame, refs: DataFrame, metric: str, block_rows: i
     n = refs.count()
     pivots = min(n // (block_rows or MAX_BLOCK), MAX_PIVOTS)
     item_type = pa.list_(pa.float64() if m.item_type == "array<double>" else pa.int32())
-    if pivots < 2 or m.name == "cosine":
+    single = pivots < 2 or m.name == "cosine"
+    if single:
         left, right = OneCell().left(items), OneCell().right(refs)
     else:
         chosen = [
@@ -123,7 +124,7 @@ def _pivot_nearest(items: DataFrame, refs: DataFrame, metric: str, block_rows: i
         best, who = best_in_block(m, m.load(x["item"]), m.load(y["item"]), y["id"].to_numpy())
         return pa.table({"id": x["id"], "dist": best, "ref_id": who})
 
-    found = blocked(left, right, kernel, "id long, dist double, ref_id long", block_rows=block_rows)
+    found = blocked(left, right, kernel, "id long, dist double, ref_id long", block_rows=block_rows, one_cell=single)
     return (
         found.groupBy("id")
         .agg(F.min(F.struct("dist", "ref_id")).alias("best"))
@@ -171,10 +172,6 @@ def assign_to_centers(
     return found.withColumnRenamed("ref_id", "cluster_id")
 
 
-def _similarity(metric: str, dist: np.ndarray) -> np.ndarray:
-    return dist if metric == "euclidean" else 1.0 - dist
-
-
 def reference_space_long(
     df: DataFrame,
     refs: DataFrame,
@@ -195,7 +192,7 @@ def reference_space_long(
     points = as_items(refs, ref_id_col or id_col, ref_item_col or item_col, metric)
 
     def pairs(ids, a, ref_ids, b):
-        values = _similarity(metric, m.matrix(a, b))
+        values = m.matrix(a, b) if metric == "euclidean" else m.similarity(a, b)
         return {
             "id": np.repeat(ids, len(ref_ids)),
             "ref_id": np.tile(ref_ids, len(ids)),
@@ -208,7 +205,7 @@ def reference_space_long(
         def kernel(x, y):
             return pa.table(pairs(x["id"].to_numpy(), m.load(x["item"]), y["id"].to_numpy(), m.load(y["item"])))
 
-        return blocked(OneCell().left(items), OneCell().right(points), kernel, schema)
+        return blocked(OneCell().left(items), OneCell().right(points), kernel, schema, one_cell=True)
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):

@@ -96,7 +96,7 @@ def within(
             i, j, d = i[keep], j[keep], d[keep]
         return pa.table(reduce(x, y, i, j, d))
 
-    return blocked(cells.left(left), cells.right(right), kernel, schema, block_rows=block_rows)
+    return blocked(cells.left(left), cells.right(right), kernel, schema, block_rows=block_rows, one_cell=cells.single)
 
 
 def _edges(x, y, i, j, d):

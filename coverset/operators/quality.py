@@ -43,7 +43,7 @@ def _silhouette(labelled: DataFrame, block_rows: int | None) -> DataFrame:
 
     cell = OneCell()
     partial = blocked(
-        cell.left(labelled), cell.right(labelled), kernel, "id long, own long, label long, total double", True, block_rows
+        cell.left(labelled), cell.right(labelled), kernel, "id long, own long, label long, total double", True, block_rows, True
     )
     sizes = materialise(labelled.groupBy("label").agg(F.count("*").alias("n")))
     sums = partial.groupBy("id", "own", "label").agg(F.sum("total").alias("total"))
@@ -103,7 +103,7 @@ def _davies_bouldin(labelled: DataFrame, block_rows: int | None) -> DataFrame:
 
     clusters = materialise(clusters)
     cell = OneCell()
-    worst = blocked(cell.left(clusters), cell.right(clusters), kernel, "id long, worst double", True, block_rows)
+    worst = blocked(cell.left(clusters), cell.right(clusters), kernel, "id long, worst double", True, block_rows, True)
     per = worst.groupBy("id").agg(F.max("worst").alias("worst")).filter(F.col("worst") >= 0)
     return per.agg(F.avg("worst").alias("davies_bouldin_score"))
 

@@ -49,7 +49,7 @@ def similarity_sums(labelled: DataFrame, metric: str, block_rows: int | None = N
     m = metric_named(metric)
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
-        near = 1.0 - m.matrix(m.load(x["item"]), m.load(y["item"]))
+        near = m.similarity(m.load(x["item"]), m.load(y["item"]))
         other = x["id"].to_numpy()[:, None] != y["id"].to_numpy()[None, :]
         return pa.table(
             {

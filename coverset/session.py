@@ -89,6 +89,12 @@ def lookup_join(
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan with fewer partitions than cores; a larger scan is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def finite(column: Column | str) -> Column:
     """Neither null, NaN nor infinite."""
     c = F.col(column) if isinstance(column, str) else column

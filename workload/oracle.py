@@ -135,7 +135,7 @@ STREAM = f"WITH {EMB}, {FIRSTS.format(t='emb')}, c AS (SELECT f.cluster_id, e.v
 BITS_OF = "list_filter(list_transform({v}, lambda x, i: CASE WHEN x > 0 THEN i END), lambda i: i IS NOT NULL)"
 
 ORACLE = {
-    "filter_range": "SELECT p_partkey, p_retailprice, p_size FROM part WHERE p_retailprice BETWEEN 1000 AND 1500 AND p_size <= 30",
+    "filter_range": "SELECT p_partkey, p_retailprice, p_size FROM part WHERE p_retailprice BETWEEN 905 AND 980 AND p_size <= 30",
     "flag_valid": "SELECT count(*) AS total, count(*) FILTER (p_size >= 10 AND isfinite(p_retailprice)) AS valid FROM part",
     "subset_semi": f"WITH {EMB}, {EMB_PICKS} SELECT id, cluster_id FROM emb WHERE id IN (SELECT id FROM picks)",
     "normalise_text": """WITH p AS (SELECT doc_id, string_split(regexp_replace(trim(text), '\\[\\d+([A-Za-z])', '[\\1', 'g'), '.') AS parts FROM documents),

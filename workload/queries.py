@@ -14,7 +14,7 @@ from coverset.operators import (
     maxmin as mm, nearest as near, neighbours as nb, quality, reduction, representatives as reps, scaling,
 )
 from coverset.plans import clustering, selection, validation
-from coverset.session import attach, checkpoint_dir, materialise
+from coverset.session import attach, checkpoint_dir, materialise, spread
 from coverset.sources import library, records, stages
 from coverset.streaming import score
 
@@ -39,7 +39,7 @@ def docs(spark, sf) -> DataFrame:
 
 
 def raw_docs(spark, sf) -> DataFrame:
-    found = fingerprints.hashed_fingerprint(table(spark, sf, "documents"), "text", name="item")
+    found = fingerprints.hashed_fingerprint(spread(table(spark, sf, "documents")), "text", name="item")
     code = F.ascii("lang") * 256 + F.ascii(F.substring("lang", 2, 1))
     return found.select(F.col("doc_id").alias("id"), "item", code.cast("long").alias("cluster_id"))
 
@@ -66,7 +66,7 @@ def long_array(df: DataFrame, column: str) -> DataFrame:
 
 def filter_range(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
-    return filters.range_filter(part, {"p_retailprice": (1000.0, 1500.0), "p_size": (None, 30)})
+    return filters.range_filter(part, {"p_retailprice": (905.0, 980.0), "p_size": (None, 30)})
 
 
 def flag_valid(spark, sf):
@@ -91,7 +91,7 @@ def fingerprint_bits(spark, sf):
 
 
 def fingerprint_classes(spark, sf):
-    d = fingerprints.hashed_fingerprint(table(spark, sf, "documents"), "text", radius=1, n_bits=512, use_features=True)
+    d = fingerprints.hashed_fingerprint(spread(table(spark, sf, "documents")), "text", radius=1, n_bits=512, use_features=True)
     return d.select(F.col("doc_id").alias("id"), F.size("fp").cast("long").alias("n_on"), F.array_join("fp", ",").alias("bits"))
 
 
