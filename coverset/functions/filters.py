@@ -61,7 +61,7 @@ def valid_rows(df: DataFrame, name: str = "is_valid") -> DataFrame:
 def take_subset(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows of ``df`` whose id is in ``ids`` (first column)."""
     chosen = ids.select(F.col(ids.columns[0]).alias(id_col))
-    return df.join(chosen, id_col, "left_semi")
+    return df.join(chosen, id_col, "left_semi").select(df.columns)
 
 
 def zero_if_missing(column: Column) -> Column:
