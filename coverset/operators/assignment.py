@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverset.session import materialise
+from coverset.session import lookup_join, materialise
 
 _LOW = (1 << 33) - 1
 
@@ -73,7 +73,7 @@ def to_lists(assignment: DataFrame, list_rows: int = LIST_ROWS, include_noise: b
     center = F.col("is_center") if "is_center" in assignment.columns else F.lit(False)
     sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("n"))
     big = sizes.filter(F.col("n") > list_rows).select("cluster_id", F.ceil(F.col("n") / (list_rows // 2)).alias("parts"))
-    placed = rows.join(big, "cluster_id", "left").select(
+    placed = lookup_join(rows, big, "cluster_id", "id", bytes_per_row=32, how="left").select(
         "cluster_id",
         F.when(center | F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"),
         F.struct((~center).alias("later"), F.col("id")).alias("member"),

@@ -71,7 +71,9 @@ def spanning_tree(
             return materialise(reduce(DataFrame.unionByName, fresh))
         comps = placed.select("id", "comp")
         labels = comps.select(F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-        listed = near.join(comps, "id").join(labels, "other").filter(F.col("comp") != F.col("other_comp"))
+        # Many rows may list the same neighbour (the first of many copies).
+        listed = lookup_join(near.join(comps, "id"), labels, "other", "id", bytes_per_row=32)
+        listed = listed.filter(F.col("comp") != F.col("other_comp"))
         candidates = listed.groupBy("comp").agg(
             F.min(F.struct(_edge(F.col("w"), F.col("id"), F.col("other")).alias("edge"), F.col("other_comp").alias("other"))).alias("best")
         )
@@ -233,17 +235,17 @@ def density_cluster(
     core = near.filter(F.col("rank") == min_samples).select("id", F.col("dist").alias("core"))
     points = materialise(items.join(core, "id"))
     cores = materialise(points.select("id", "core"))
+    other_cores = cores.select(F.col("id").alias("other"), F.col("core").alias("other_core"))
     reach = materialise(
-        near.join(cores, "id")
-        .join(cores.select(F.col("id").alias("other"), F.col("core").alias("other_core")), "other")
+        lookup_join(near.join(cores, "id"), other_cores, "other", "id", bytes_per_row=32)
         .select("id", "other", "dist", F.greatest("dist", "core", "other_core").alias("w"))
     )
     tree = spanning_tree(points, reach, block_rows, small_edges)
     levels = materialise(growth_levels(cores, tree, min_cluster_size))
     marked = tree
-    for end in ("a", "b"):
+    for end, far_end in (("a", "b"), ("b", "a")):
         ends = levels.select(F.col("id").alias(end), F.col("level").alias(f"level_{end}"))
-        marked = marked.join(ends, end)
+        marked = lookup_join(marked, ends, end, far_end, bytes_per_row=64)
     key = F.struct("w", "a", "b")
     is_split = (key > F.col("level_a")) & (key > F.col("level_b"))
     marked = materialise(marked.select("w", "a", "b", is_split.alias("is_split")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coverset.functions.metrics import as_items, metric_named
 from coverset.operators.cells import blocked, cells_for
-from coverset.session import materialise
+from coverset.session import lookup_join, materialise
 
 Reduce = Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray, np.ndarray], dict]
 
@@ -163,4 +163,4 @@ def neighbour_counts(
     counted = with_neighbour_counts(groups, cells, metric, cutoff, block_rows)
     counted = materialise(counted.select(F.col("id").alias("group_id"), "n_neighbours"))
     members = copy_members(items, groups, metric)
-    return members.join(counted, "group_id").select("id", "n_neighbours")
+    return lookup_join(members, counted, "group_id", "id", bytes_per_row=32).select("id", "n_neighbours")
