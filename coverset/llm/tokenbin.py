@@ -61,11 +61,11 @@ class Encoder:
     those of the whole text. The memory is emptied when full; no piece is skipped.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, description: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.encode_special_tokens = True
         self.memory: dict[str, bytes] = {}
 
@@ -196,11 +196,14 @@ def write(
     cuts = sorted(set(cuts or []))
     from tokenizers import Tokenizer
 
-    vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
+    with open(tokenizer, encoding="utf-8") as file:
+        description = file.read()  # a vocabulary's size, whatever the corpus
+    vocabulary = Tokenizer.from_str(description).get_vocab_size()
+    held = docs.sparkSession.sparkContext.broadcast(description)
     bits = width_of(max(vocabulary, end_id + 1))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stop = Encoder(tokenizer), np.array([end_id], np.uint32)
+        encoder, stop = Encoder(held.value), np.array([end_id], np.uint32)
         bounds = np.array(cuts, np.int64)
         for part in slices(batches):
             who = part.column(0).to_numpy(zero_copy_only=False)

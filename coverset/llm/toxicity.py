@@ -15,8 +15,8 @@ from coverset.session import lookup_join, materialise
 
 # Expressions are told apart by a hash of this many bits: the model holds at most this many ratios, whatever the corpus.
 BUCKET_BITS = 22
-# Absolute discount; shared backoff count of an expression; log factor within which classes share their estimate.
-DISCOUNT, BACKOFF, CONTRAST = 0.75, 1.0, 1.6
+# Absolute discount; shared backoff count of an expression; log factor that an expression must stand out by.
+DISCOUNT, BACKOFF, CONTRAST = 0.75, 0.5, 1.4
 # Labelled rows (never counted by the models) that calibrate the score, at most.
 CALIBRATION_ROWS = 20_000
 REJECT = 0.7
@@ -73,8 +73,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     count (the number of different words before it in that class), less a
     discount. Two shared quantities smooth it: a backoff count that is the same
     share of each class, so that unseen and rare words are as likely in both,
-    and a contrast within which the two classes keep the common estimate, so
-    that sampling noise and the mix of languages do not add up over a long text.
+    and a contrast: an expression keeps the common estimate unless it is that
+    much likelier in toxic texts, so that sampling noise and the mix of languages
+    do not add up over a long text.
     A quarter of the training rows is not counted and calibrates the score
     (at most ``CALIBRATION_ROWS`` of them).
     """
@@ -90,8 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = totals["t"] / totals["o"]
     toxic = F.greatest(F.col("toxic") - DISCOUNT, F.lit(0.0)) + BACKOFF
     plain = F.greatest(F.col("plain") - DISCOUNT, F.lit(0.0)) * share + BACKOFF
-    ratio = F.log(toxic / plain)
-    ratio = F.signum(ratio) * F.greatest(F.abs(ratio) - CONTRAST, F.lit(0.0))
+    ratio = F.greatest(F.log(toxic / plain) - CONTRAST, F.lit(0.0))
     # At most 2 ** BUCKET_BITS rows of 12 bytes, whatever the corpus.
     found = counts.select("bucket", ratio.cast("float").alias("ratio")).filter("ratio <> 0").toArrow()
     model = Model(found["bucket"].to_numpy().astype(np.int64), found["ratio"].to_numpy(), None)
