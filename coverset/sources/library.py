@@ -33,16 +33,30 @@ def read_library(
     fmt: str | None = None,
     schema: str | StructType | None = LIBRARY_SCHEMA,
     infer: bool = False,
+    required: str = "SMILES",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Scan a library: CSV with header, SDF records or parquet.
 
-    CSV takes an explicit schema; ``infer=True`` reads the file twice to find
-    one. For parquet the stored schema is used.
+    CSV columns are matched by their header names in any order: those of
+    ``schema`` get its types (missing ones are null), all others stay as text. A
+    file without the ``required`` column is an error. ``infer=True`` reads the
+    file twice to find the types; ``multi_line=True`` allows line breaks inside
+    quotes, and then a file is one task. For parquet the stored schema is used.
     """
     fmt = (fmt or library_format(path)).lower()
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
-        return (reader.option("inferSchema", True) if infer or schema is None else reader.schema(schema)).csv(path)
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+        raw = reader.option("inferSchema", bool(infer or schema is None)).csv(path)
+        if required not in raw.columns:
+            raise ValueError(f"{path} has no column {required!r}")
+        if infer or schema is None:
+            return raw
+        wanted = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        known = [
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted
+        ]
+        return raw.select(*known, *[F.col(f"`{c}`") for c in raw.columns if c not in {f.name for f in wanted}])
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "sdf":

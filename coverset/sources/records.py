@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Record end, field patterns and the fixed-width counts and atom lines.
-RECORD_END = "$$$$\n"
+RECORD_MARK, RECORD_END = "$$$$", "$$$$\n"
 FIELD = r"(?m)^>[^<\n]*<([^>\n]+)>[^\n]*\n((?:[^\n]+\n?)*)"
 COUNTS_LINE = r"^[^\n]*\n[^\n]*\n[^\n]*\n([ \d]{3})[^\n]*V2000"
 ATOM_LINE = r"(?m)^ *(-?\d+\.\d+) *(-?\d+\.\d+) *(-?\d+\.\d+) +([A-Z][a-z]?)\b"
@@ -17,6 +17,10 @@ ELEMENT_MASS = {
     "H": 1.00782503223, "B": 11.00930536, "C": 12.0, "N": 14.00307400443, "O": 15.99491461957,
     "F": 18.99840316273, "Na": 22.989769282, "Si": 27.97692653465, "P": 30.97376199842,
     "S": 31.9720711744, "Cl": 34.968852682, "K": 38.9637064864, "Br": 78.9183376, "I": 126.9044719,
+    "Li": 7.0160034366, "Be": 9.012183065, "Mg": 23.985041697, "Al": 26.98153853, "Ca": 39.962590863, "Ti": 47.94794198,
+    "Cr": 51.94050623, "Mn": 54.93804391, "Fe": 55.93493633, "Co": 58.93319429, "Ni": 57.93534241, "Cu": 62.92959772,
+    "Zn": 63.92914201, "As": 74.92159457, "Se": 79.9165218, "Pd": 105.9034804, "Ag": 106.9050916, "Sn": 119.90220163,
+    "Pt": 194.9647917, "Au": 196.96656879, "Hg": 201.9706434,
 }
 
 
@@ -62,8 +66,12 @@ def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
 
 
 def read_sdf_records(spark: SparkSession, path: str) -> DataFrame:
-    """Scan SDF files: one row per record, split by the record end mark."""
-    raw = spark.read.option("lineSep", RECORD_END).text(path).withColumnRenamed("value", "record")
+    """Scan SDF files: one row per record, split by the record mark whatever line ends follow it."""
+    raw = spark.read.option("lineSep", RECORD_MARK).text(path).withColumnRenamed("value", "record")
+    # What is left of the mark's line goes; a file's first record has no such rest, but may begin with an empty title.
+    tail = F.regexp_replace("record", r"^[ \t]*\r?\n", "")
+    titled = F.regexp_replace("record", "\r\n", "\n").rlike(COUNTS_LINE)
+    raw = raw.select(F.when(titled, F.col("record")).otherwise(tail).alias("record"))
     return parse_records(raw.filter(F.length(F.trim(F.regexp_replace("record", r"\s+", " "))) > 0))
 
 
@@ -77,10 +85,11 @@ def record_weight(spark: SparkSession, records: DataFrame) -> DataFrame:
 def sdf_to_table(records: DataFrame) -> DataFrame:
     """``(name, mol_weight)`` of the readable records; weights rounded to 2 decimals.
 
-    Only atoms listed in the record count: implicit hydrogens are not added.
+    Only atoms listed in the record count: implicit hydrogens are not added. A
+    record with an element of unknown mass stays, without a weight.
     """
     weighed = record_weight(records.sparkSession, records.filter("is_valid"))
-    return weighed.filter("mol_weight IS NOT NULL").select("name", F.round("mol_weight", 2).alias("mol_weight"))
+    return weighed.select("name", F.round("mol_weight", 2).alias("mol_weight"))
 
 
 def conversion_report(records: DataFrame) -> DataFrame:

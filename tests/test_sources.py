@@ -48,6 +48,26 @@ def test_sdf(spark, sdf, tmp_path):
     assert sorted(r.record for r in library.read_library(spark, out).collect()) == sorted([GOOD, UNNAMED, BROKEN])
 
 
+def test_sdf_line_ends_and_elements(spark, tmp_path):
+    rare = GOOD.replace(" O ", " Xx")
+    path = tmp_path / "crlf.sdf"
+    path.write_bytes(("$$$$\n".join(["\n" + GOOD.split("\n", 1)[1], rare, BROKEN, GOOD]) + "$$$$\n").replace("\n", "\r\n").encode())
+    found = library.read_library(spark, str(path))
+    report = records.conversion_report(found).first()
+    assert (report.total, report.processed) == (4, 3) and {r.name for r in found.filter("is_valid").collect()} == {"AB-1"}
+    assert sorted(r.mol_weight or 0 for r in records.sdf_to_table(found).collect()) == [0, 27.99, 27.99]
+
+
+def test_csv_by_header(spark, tmp_path):
+    path = tmp_path / "any.csv"
+    path.write_text('Name,MolWeight,SMILES,Extra\nethanol,46.07,CCO,"two\nlines"\n')
+    row = library.read_library(spark, str(path), multi_line=True).first()
+    assert (row.SMILES, row.Name, row.MolWeight, row.Extra) == ("CCO", "ethanol", 46.07, "two\nlines")
+    (tmp_path / "none.csv").write_text("A,B\n1,2\n")
+    with pytest.raises(ValueError):
+        library.read_library(spark, str(tmp_path / "none.csv"))
+
+
 def test_csv_library_and_subset(spark, tmp_path):
     path = tmp_path / "lib.csv"
     path.write_text('SMILES,Name,MolWeight\nCCO,Ethanol,46.07\n"C,C","Quoted ""name""",30.07\n')
