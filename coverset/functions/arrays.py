@@ -33,12 +33,14 @@ def array_stats_block(column: str) -> Column:
 
 
 def fixed_width(block: Column, width: int) -> Column:
-    """``block`` with exactly ``width`` values: zeros for null, missing or NaN values."""
+    """``block`` with exactly ``width`` values: zeros for null, missing or NaN values; a longer block is an error."""
     filled = F.transform(
         F.coalesce(block.cast("array<double>"), F.array().cast("array<double>")),
         lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)),
     )
-    return F.slice(F.concat(filled, F.array_repeat(F.lit(0.0), width)), 1, width)
+    padded = F.concat(filled, F.array_repeat(F.lit(0.0), F.greatest(F.lit(width) - F.size(filled), F.lit(0))))
+    long = F.raise_error(F.format_string("a block of %d values is wider than its %d places", F.size(filled), F.lit(width)))
+    return F.when(F.size(filled) > width, long.cast("array<double>")).otherwise(padded)
 
 
 def combine_blocks(df: DataFrame, blocks: list[tuple[str | list[str], int]], name: str = "features") -> DataFrame:

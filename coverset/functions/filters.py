@@ -37,7 +37,7 @@ def flag_valid(
     """Keep every row and say in ``name`` whether it may be used.
 
     A row is valid when its required columns are present (numbers finite,
-    arrays without null or NaN) and the bounds hold.
+    arrays of finite numbers) and the bounds hold.
     """
     types = dict(df.dtypes)
     tests = []
@@ -45,7 +45,7 @@ def flag_valid(
         if types[c] in ("double", "float"):
             tests.append(finite(c))
         elif types[c] in ("array<double>", "array<float>"):
-            tests.append(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)))
+            tests.append(F.col(c).isNotNull() & F.forall(c, finite))
         else:
             tests.append(F.col(c).isNotNull())
     for c, (lo, hi) in (bounds or {}).items():

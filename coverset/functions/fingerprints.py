@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"\w+"
+TOKEN = r"[\p{L}\p{N}_]+"
 
 # Fixed defaults: neighbourhood radius 2, 1024 bits.
 RADIUS, N_BITS = 2, 1024

@@ -37,7 +37,7 @@ class Euclidean:
         return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
     def usable(self, item: Column) -> Column:
-        return item.isNotNull() & ~F.exists(item, lambda x: x.isNull() | F.isnan(x))
+        return item.isNotNull() & F.forall(item, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
     def load(self, column) -> np.ndarray:
         offsets, values = _flat(column)
@@ -222,8 +222,11 @@ def metric_named(name: str):
 def as_items(df: DataFrame, id_col: str, item_col: str, metric: str) -> DataFrame:
     """Common shape of the pair operators: ``(id, item)`` without unusable rows."""
     m = metric_named(metric)
+    item = F.col(item_col).cast(m.item_type)
+    # A bit set holds each bit once, in order.
+    item = F.array_sort(F.array_distinct(item)) if metric == "tanimoto" else item
     return (
-        df.select(F.col(id_col).cast("long").alias("id"), F.col(item_col).cast(m.item_type).alias("item"))
+        df.select(F.col(id_col).cast("long").alias("id"), item.alias("item"))
         .filter(F.col("id").isNotNull() & m.usable(F.col("item")))
     )
 

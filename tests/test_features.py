@@ -86,7 +86,10 @@ def test_text(spark):
     got = {r.id: (r.a, r.b) for r in df.select("id", text.normalise_smiles_text("s").alias("a"), text.normalise_smiles_text("s", True).alias("b")).collect()}
     assert got[1] == ("[CH3]C.Cl", "[CH3]C") and got[2] == ("ClCBr.CC[H]", "ClCBr") and got[3] == (None, None)
     counts = text.text_counts(df.filter("id = 2"), "s").first()
-    assert (counts.carbon, counts.halogen, counts.heavy_atoms) == (3, 2, 6)
+    assert (counts.carbon, counts.halogen, counts.heavy_atoms) == (3, 2, 5)
+    odd = spark.createDataFrame([(1, "[H]O[H]"), (2, "CC(=O)[O-].[Na+]"), (3, "c1cc[nH]c1[Zn][Sn+2]C%12CC%12[13CH3]")], "id long, s string")
+    got = {r.id: (r.heavy_atoms, r.nitrogen, r.oxygen, r.carbon, r.ring_closures) for r in text.text_counts(odd, "s").collect()}
+    assert got == {1: (1, 0, 1, 0, 0), 2: (5, 0, 2, 2, 0), 3: (11, 1, 0, 8, 2)}
 
 
 def test_featurize_keeps_failed_rows(spark):

@@ -22,7 +22,7 @@ def _grams(radius: int) -> str:
 
 
 def _fp(radius: int = 2, n_bits: int = 1024, classes: bool = False) -> str:
-    tokens = "regexp_extract_all(text, '\\w+')"
+    tokens = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
     if classes:
         tokens = f"list_transform({tokens}, lambda w: regexp_replace(lower(w), '\\d', '#', 'g'))"
     return (
@@ -148,7 +148,7 @@ ORACLE = {
             lambda b: CASE WHEN b % 64 = 63 THEN (-9223372036854775808)::HUGEINT ELSE (1::HUGEINT << (b % 64)::INT) END) || [0::HUGEINT])::BIGINT AS word FROM w""",
     "fingerprint_dense": f"WITH {_fp()} SELECT id, 1024::BIGINT AS width, len(bits)::DOUBLE AS ones, coalesce(list_sum(bits), 0)::DOUBLE AS position_sum FROM fp",
     "text_counts": "SELECT doc_id, " + ", ".join(
-        f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in {"words": "\\w+", "digits": "\\d", "capitals": "[A-Z]", "stops": "[.!?]"}.items()
+        f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in {"words": "[\\p{L}\\p{N}_]+", "digits": "\\d", "capitals": "\\p{Lu}", "stops": "[.!?]"}.items()
     ) + " FROM documents",
     "array_stats": f"WITH {EMB} SELECT id, round(list_avg(v), 6) AS v_mean, round(list_stddev_pop(v), 6) AS v_std, round(list_min(v), 6) AS v_min, round(list_max(v), 6) AS v_max FROM emb",
     "point_shape": """WITH p AS (SELECT l_suppkey AS id, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem),

@@ -107,7 +107,7 @@ def fingerprint_dense(spark, sf):
     return dense.select("id", F.size("v").cast("long").alias("width"), ones.alias("ones"), weighted.alias("position_sum"))
 
 
-COUNT_PATTERNS = {"words": r"\w+", "digits": r"\d", "capitals": r"[A-Z]", "stops": r"[.!?]"}
+COUNT_PATTERNS = {"words": r"[\p{L}\p{N}_]+", "digits": r"\d", "capitals": r"\p{Lu}", "stops": r"[.!?]"}
 
 
 def text_counts(spark, sf):
