@@ -83,6 +83,17 @@ def to_lists(assignment: DataFrame, list_rows: int = LIST_ROWS, include_noise: b
     )
 
 
+def to_members(assignment: DataFrame, include_noise: bool = False) -> DataFrame:
+    """``(cluster_id, rest, id)``: the long form of the lists for clusters of any size; centres have ``rest`` false.
+
+    Ordered by these columns it is the list with its centre first, and no task
+    holds a cluster.
+    """
+    rows = assignment if include_noise else assignment.filter("cluster_id >= 0")
+    center = F.col("is_center") if "is_center" in assignment.columns else F.lit(False)
+    return rows.select("cluster_id", (~center).alias("rest"), "id")
+
+
 def from_lists(lists: DataFrame) -> DataFrame:
     """``(id, cluster_id)`` from ``to_lists`` output."""
     return lists.select(F.explode("members").alias("id"), "cluster_id")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from coverset.functions.metrics import as_items
 
-# Below this many rows the best of several starts is kept.
-RESTART_BELOW, RESTARTS = 10_000, 10
+# Starts of which the best is kept, whatever the size of the table.
+RESTARTS = 3
 PARALLEL_FITS = 5
 
 
@@ -31,21 +31,20 @@ def kmeans(
     k: int,
     seed: int = 42,
     max_iter: int = 100,
-    restarts: int | None = None,
+    restarts: int = RESTARTS,
     id_col: str = "id",
     item_col: str = "item",
 ) -> KMeansResult:
     """Euclidean k-means with the parallel k-means++ start, on all rows.
 
-    Small inputs are fitted from several seeds and the lowest cost is kept; a
-    large one is fitted once. Rows keep their label in ``cluster_id``.
+    It is fitted from ``restarts`` seeds and the lowest cost is kept. Rows keep
+    their label in ``cluster_id``.
     """
     items = as_items(df, id_col, item_col, "euclidean").withColumn("vector", array_to_vector("item"))
     items = items.select("id", "vector").persist()
     n = items.count()
     if n == 0:
         raise ValueError("no usable rows to cluster")
-    runs = restarts if restarts is not None else (RESTARTS if n < RESTART_BELOW else 1)
 
     def fit(step: int):
         model = KMeans(
@@ -55,7 +54,7 @@ def kmeans(
 
     # Independent starts share the cluster, like the folds of a cross-validation.
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        cost, _, model = min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(max(runs, 1))), key=lambda r: r[:2])
+        cost, _, model = min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(max(restarts, 1))), key=lambda r: r[:2])
     # One centre per cluster: k rows, made and held by the fitted model.
     centers = df.sparkSession.createDataFrame(
         [(c, [float(v) for v in center]) for c, center in enumerate(model.clusterCenters())],

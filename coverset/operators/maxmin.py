@@ -79,7 +79,6 @@ def maxmin(
     seed: int = 42,
     id_col: str = "id",
     item_col: str = "item",
-    mode: str = "exact",
     pool_rows: int = POOL_ROWS,
 ) -> DataFrame:
     """``(id, pick_order, pick_dist)``: ``k`` rows, each farthest from all picked before it.
@@ -91,17 +90,10 @@ def maxmin(
     keeps the ``pool_rows`` farthest. Distances to picks only shrink, so the
     next pick is certain while the best pool row still beats the farthest row
     outside the pool: one round yields many exact picks.
-
-    ``mode="coreset"`` first thins every Arrow batch to its own ``k`` farthest
-    rows and picks from their union: one pass, approximate, for large ``k``.
     """
     m = metric_named(metric)
     spark = df.sparkSession
     items = as_items(df, id_col, item_col, metric)
-    if mode == "coreset":
-        items = _coreset(items, metric, k)
-    elif mode != "exact":
-        raise ValueError(f"unknown mode {mode!r}")
     if start == "first":
         first = items.orderBy("id").limit(1)
     elif start == "random":
@@ -133,22 +125,3 @@ def maxmin(
         picks = pa.concat_tables([picks, fresh]).combine_chunks()
     return spark.createDataFrame(result, RESULT)
 
-
-def _coreset(items: DataFrame, metric: str, k: int) -> DataFrame:
-    m = metric_named(metric)
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows <= k:
-                yield batch
-                continue
-            block, ids = m.load(batch.column("item")), batch.column("id").to_numpy()
-            at, far, chosen = int(ids.argmin()), np.full(batch.num_rows, np.inf), []
-            while len(chosen) < k:
-                chosen.append(at)
-                far = np.minimum(far, m.matrix(block, m.take(block, np.array([at])))[:, 0])
-                far[at] = -1.0
-                at = int(np.flatnonzero(far == far.max())[0])
-            yield batch.take(pa.array(chosen))
-
-    return items.mapInArrow(thin, items.schema)

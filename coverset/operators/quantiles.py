@@ -18,8 +18,11 @@ def _narrow(df: DataFrame, targets: DataFrame) -> DataFrame:
     ``targets`` is ``(grp, rank, below, lo, hi)``: the wanted 0-based rank, the
     rows under ``lo``, and the closed interval known to hold it.
     """
-    width = (F.col("hi") - F.col("lo")) / BINS
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(BINS - 1)))
+    # Each bound is divided first, as their difference may overflow. A width of zero (neighbouring numbers) parts
+    # the least value from the rest, so that every pass makes progress.
+    width = F.col("hi") / BINS - F.col("lo") / BINS
+    step = F.when(width > 0, F.least(F.floor(F.col("x") / width - F.col("lo") / width), F.lit(BINS - 1)))
+    at = F.when(F.col("x") == F.col("lo"), 0).otherwise(F.greatest(F.coalesce(step, F.lit(1)), F.lit(1)))
     binned = (
         df.join(F.broadcast(targets), "grp")
         .filter(F.col("x").between(F.col("lo"), F.col("hi")))
