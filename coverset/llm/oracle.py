@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coverset.llm.sharding import KEYS, MASK, MULTIPLIERS
+from coverset.llm.sharding import KEYS, MULTIPLIERS, PRIME
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
@@ -42,21 +42,19 @@ FROM d LEFT JOIN marked m USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
 
-def _mix(x: str, name: str, key: int) -> str:
-    """Subqueries in a chain: each names the value that the next uses twice."""
-    out = x
+def _mix(x: str, key: int) -> str:
     for m in MULTIPLIERS:
-        out = f"list_transform([(({out}) & {MASK}) * {m} + {key} & {MASK}], lambda {name}: xor({name}, {name} >> 15))[1]"
-    return out
+        x = f"(((pow(((({x}) % {PRIME}) * {m} + {key}) % {PRIME}, 2))::BIGINT + {key}) % {PRIME})"
+    return x
 
 
 def _feistel() -> str:
     steps = []
     for k, key in enumerate(KEYS):
         if k % 2 == 0:
-            steps.append(f"r{k + 1} AS (SELECT * REPLACE ((l + {_mix('r', 'q', key)} % a) % a AS l) FROM r{k})")
+            steps.append(f"r{k + 1} AS (SELECT * REPLACE ((l + {_mix('r', key)} % a) % a AS l) FROM r{k})")
         else:
-            steps.append(f"r{k + 1} AS (SELECT * REPLACE ((r + {_mix('l', 'q', key)} % b) % b AS r) FROM r{k})")
+            steps.append(f"r{k + 1} AS (SELECT * REPLACE ((r + {_mix('l', key)} % b) % b AS r) FROM r{k})")
     return ", ".join(steps)
 
 

@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from coverset.llm.common import unused
 from coverset.session import materialise
 
-# Round keys and multipliers of the round function (fixed values; products stay below 2**63).
-KEYS = (1013904223, 1664525, 22695477, 134775813)
+# Round keys, multipliers and modulus of the round function (fixed values; squares stay exact in a double).
+KEYS = (1013904, 22695477, 1664525, 13477581)
 MULTIPLIERS = (48271, 69621)
-MASK = 2**31 - 1
-# Walks longer than this do not occur: a row number leaves the domain with probability 1 / sqrt(n) a step.
-WALKS = 64
+PRIME = 67108859
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -24,14 +23,10 @@ def sides(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def _let(x: Column, use) -> Column:
-    """``use(x)`` with ``x`` worked out once, however often it is used."""
-    return F.element_at(F.transform(F.array(x), use), 1)
-
-
 def _mix(x: Column, key: int) -> Column:
+    """Round function: two affine steps, each squared, modulo a prime. ``x`` stands in it once."""
     for m in MULTIPLIERS:
-        x = _let(((x.bitwiseAND(F.lit(MASK)) * m) + key).bitwiseAND(F.lit(MASK)), lambda v: v.bitwiseXOR(F.shiftright(v, 15)))
+        x = (F.pow(((x % PRIME) * m + key) % PRIME, F.lit(2)).cast("long") + key) % PRIME
     return x
 
 
@@ -40,32 +35,39 @@ def _div(x: Column, m: int) -> Column:
     return F.call_function("div", x, F.lit(m).cast("long"))
 
 
-def _rounds(x: Column, a: int, b: int, seed: int, back: bool = False) -> Column:
-    """Four rounds on (x div b, x mod b): each half in turn is shifted by a function of the other."""
+def _rounds(df: DataFrame, name: str, a: int, b: int, seed: int, back: bool) -> DataFrame:
+    """Four rounds on (x div b, x mod b), a column each: either half in turn is shifted by a function of the other."""
+    left, right = unused("_left", df.columns), unused("_right", df.columns)
+    df = df.withColumns({left: _div(F.col(name), b), right: F.col(name) % b})
     steps = list(enumerate(KEYS))
-
-    def turn(pair: Column, k: int, key: int) -> Column:
-        own, other, m = ("l", "r", a) if k % 2 == 0 else ("r", "l", b)
-        move = _mix(pair[other] + seed, key) % m
-        new = (pair[own] + (F.lit(m) - move if back else move)) % m
-        return F.struct((new if own == "l" else pair["l"]).alias("l"), (new if own == "r" else pair["r"]).alias("r"))
-
-    pair = _let(x, lambda v: F.struct(_div(v, b).alias("l"), (v % b).alias("r")))
     for k, key in reversed(steps) if back else steps:
-        pair = _let(pair, lambda p, k=k, key=key: turn(p, k, key))
-    return _let(pair, lambda p: p["l"] * b + p["r"])
+        own, other, m = (left, right, a) if k % 2 == 0 else (right, left, b)
+        move = _mix(F.col(other) + seed, key) % m
+        df = df.withColumn(own, (F.col(own) + (F.lit(m) - move if back else move)) % m)
+    return df.withColumn(name, F.col(left) * b + F.col(right)).drop(left, right)
 
 
-def permute(x: Column, n: int, seed: int = 0, back: bool = False) -> Column:
-    """The place of row number ``x`` among ``n``; ``back`` undoes it. Values outside the domain are walked on."""
-    a, b = sides(n)
+def permuted(df: DataFrame, source: str, n: int, name: str, seed: int = 0, back: bool = False) -> DataFrame:
+    """``df`` with ``name``: the place of row number ``source`` among ``n``; ``back`` undoes it.
+
+    The rounds permute a domain of ``a * b >= n`` numbers. A number that lands
+    outside ``n`` walks on along its cycle until it is inside, which is again a
+    permutation of the ``n``. Fewer than ``sqrt(n) + 1`` numbers are outside, so
+    nearly every row is done after one pass; the few others are passed again.
+    """
+    df = df.withColumn(name, F.col(source).cast("long"))
     if n <= 1:
-        return x
-    step = lambda v: F.when(v < n, v).otherwise(_rounds(v, a, b, seed, back))
+        return df
+    a, b = sides(n)
+    made = _rounds(df, name, a, b, seed, back)
     if a * b == n:
-        return _rounds(x, a, b, seed, back)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), _rounds(x, a, b, seed, back), lambda v, _: step(v))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+        return made
+    made = materialise(made)
+    inside, outside = made.filter(F.col(name) < n), made.filter(F.col(name) >= n)
+    while not outside.isEmpty():
+        moved = materialise(_rounds(outside, name, a, b, seed, back))
+        inside, outside = inside.unionByName(moved.filter(F.col(name) < n)), moved.filter(F.col(name) >= n)
+    return inside
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -89,7 +91,7 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 0, id_col: str = "doc_
 
     Law ``rows``: shard and slot are remainder and quotient of the permuted row
     number, so shard sizes differ by one row at most and both follow from the
-    row number alone (and back, with ``permute(..., back=True)``). Rows are
+    row number alone (and back, with ``permuted(..., back=True)``). Rows are
     numbered by id, then size, checksum; rows equal in all three are
     interchangeable. Null ids come first; a null text has no bytes. Shards may
     exceed the rows: the last ones are then empty. Other columns are not read.
@@ -102,14 +104,9 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 0, id_col: str = "doc_
     )
     rows = numbered(materialise(rows), "doc_id", "size", "text_crc32")
     n = rows.count()
-    placed = rows.withColumn("place", permute(F.col("row_no"), n, seed))
+    placed = permuted(rows, "row_no", n, "place", seed)
     return placed.select(
         "doc_id", "size", "text_crc32", "row_no", "place", F.lit("rows").alias("law"),
         (F.col("place") % shards).cast("int").alias("shard"), _div(F.col("place"), shards).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def row_of(place: Column, n: int, seed: int = 0) -> Column:
-    """The row number that stands at ``place = slot * shards + shard``."""
-    return permute(place, n, seed, back=True)

@@ -78,17 +78,16 @@ def test_op8_law(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(40))
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     n = len(got)
-    back = spark.createDataFrame([(r.slot * 40 + r.shard, r.row_no) for r in got], "p long, row_no long")
-    assert back.filter(sharding.row_of(back.p, n) != back.row_no).count() == 0
+    back = sharding.permuted(spark.createDataFrame([(r.slot * 40 + r.shard, r.row_no) for r in got], "p long, row_no long"), "p", n, "found", back=True)
+    assert back.filter("found <> row_no").count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 1000, 4099])
 def test_permutation(spark, n):
-    rows = spark.range(n)
-    out = [r[0] for r in rows.select(sharding.permute(rows.id, n, seed=3)).collect()]
+    made = sharding.permuted(spark.range(n), "id", n, "place", seed=3)
+    out = [r.place for r in made.orderBy("id").collect()]
     assert sorted(out) == list(range(n)) and (n < 100 or sum(a == b for a, b in enumerate(out)) < n / 10)
-    again = rows.select(sharding.permute(sharding.permute(rows.id, n, 3), n, 3, back=True)).collect()
-    assert [r[0] for r in again] == list(range(n))
+    assert sharding.permuted(made, "place", n, "again", seed=3, back=True).filter("again <> id").count() == 0
 
 
 def test_shards_odd_rows(spark):
