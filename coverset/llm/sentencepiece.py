@@ -175,9 +175,12 @@ class Codec:
 
     def _learn(self, units: list[str]) -> None:
         made = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        # A unit without the marker in front (one whose text holds the marker itself) has no text of its own.
-        whole = self.original is not None
-        theirs = self.original.encode([self.plain(u) for u in units], num_threads=1) if whole else [None] * len(units)
+        theirs: list = [None] * len(units)
+        if self.original is not None:
+            theirs = self.original.encode([self.plain(u) for u in units], num_threads=1)
+            for k, unit in enumerate(units):
+                if unit == SPACE:  # a space at the end of a text has no text of its own
+                    theirs[k] = self.original.encode("x ")[len(self.original.encode("x")) :]
         for unit, own, other in zip(units, made, theirs):
             self.memory[unit] = (np.array(own.ids, "<u4").tobytes(), other is None or own.ids == other)
 
