@@ -7,6 +7,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,11 @@ from coverset.session import checkpoint_dir, materialise
 MAGIC = b"CVTOKBIN"
 # Ids in a block: a multiple of 8, so that every block starts on a byte.
 BLOCK_IDS = 8_192
-# Distinct pieces of text whose ids a task remembers.
-MEMORY = 1 << 18
-# A cut before a single space between two non-spaces, where the byte-level pre-tokenizer always parts.
-ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]| \n|\n | $|^ |  ")
+# Distinct pieces of text whose ids a Python worker remembers; those met once only are forgotten when it is full.
+MEMORY = 300_000
+# Plain texts are cut before each space, full stop and comma and around each line break: the byte-level pre-tokenizer
+# always parts there, provided that white space stands alone and no mark follows a mark. Others are cut by INNER_SPACE.
+ODD = re.compile(r"[\W_][.,]|[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 # A word and what follows it; the pre-tokenizer also parts where a run of letters ends.
 WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~].*)", re.S)
@@ -58,7 +60,7 @@ class Encoder:
 
     A text is cut where the pre-tokenizer parts it in any case (before a single
     space between two non-spaces; after a run of letters), so the joined ids are
-    those of the whole text. The memory is emptied when full; no piece is skipped.
+    those of the whole text.
     """
 
     def __init__(self, description: str):
@@ -68,36 +70,64 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(description)
         self.tokenizer.encode_special_tokens = True
         self.memory: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        fresh, stems = [], []
-        for piece in set(pieces):
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Remember the ids of the pieces; returns those made of a word and what follows it."""
+        fresh, cuts = set(), []
+        for piece in pieces:
             cut = WORD.fullmatch(piece)
-            stems.append((piece, cut))
-            fresh += [piece] if cut is None else [cut[1], cut[2]]
-        fresh = [p for p in dict.fromkeys(fresh) if p not in self.memory]
-        for piece, made in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.memory[piece] = np.array(made.ids, "<u4").tobytes()
-        for piece, cut in stems:
-            if cut is not None:
-                self.memory[piece] = self.memory[cut[1]] + self.memory[cut[2]]
+            if cut is None:
+                fresh.add(piece)
+            else:
+                cuts.append((piece, cut[1], cut[2]))
+                fresh.update((cut[1], cut[2]))
+        order = list(fresh.difference(self.memory))
+        for piece, made in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
+            self.memory[piece] = array("I", made.ids).tobytes()
+        for piece, word, rest in cuts:
+            self.memory[piece] = self.memory[word] + self.memory[rest]
+        return [piece for piece, _, _ in cuts]
+
+    def _forget(self) -> None:
+        if len(self.memory) > MEMORY:
+            if len(self.again) > MEMORY // 2:
+                self.again = set()
+            self.memory = {p: self.memory[p] for p in self.again}
+            self.again = set()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = []
         for text in texts:
-            text = text or ""
-            parts = INNER_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
-            cut.append([parts[0], *(" " + p for p in parts[1:])] if text else [])
-        new = [p for parts in cut for p in parts if p not in self.memory]
-        if new or len(self.memory) > MEMORY:
-            if len(self.memory) + 3 * len(new) > MEMORY:
-                self.memory.clear()
-                new = [p for parts in cut for p in parts]
-            self.learn(new)
+            if not text:
+                cut.append([])
+            elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or ODD.search(text):
+                first, *rest = INNER_SPACE.split(text)
+                cut.append([first, *[" " + p for p in rest]])
+            else:
+                cut.append(text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0"))
+        met = set().union(*cut)
+        new = met.difference(self.memory)
+        self.again |= met.difference(new)
+        joined = self._learn(new) if new else []
         get = self.memory.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in cut]
+        out = [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in cut]
+        for piece in joined:  # cheap to join again
+            del self.memory[piece]
+        self._forget()
+        return out
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder(description: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    key = zlib.crc32(description.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(description)
+    return _ENCODERS[key]
 
 
 def open_fs(url: str) -> tuple[pafs.FileSystem, str]:
@@ -203,11 +233,11 @@ def write(
     bits = width_of(max(vocabulary, end_id + 1))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stop = Encoder(held.value), np.array([end_id], np.uint32)
+        known, stop = encoder(held.value), np.array([end_id], np.uint32)
         bounds = np.array(cuts, np.int64)
         for part in slices(batches):
             who = part.column(0).to_numpy(zero_copy_only=False)
-            made = [np.concatenate([x, stop]) for x in encoder.encode(part.column(1).to_pylist())]
+            made = [np.concatenate([x, stop]) for x in known.encode(part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.searchsorted(bounds, who, "right").astype(np.int32)), part.column(0),
