@@ -14,7 +14,7 @@ from coverset.llm.common import slices, spread, words
 from coverset.session import fits_broadcast, materialise
 
 # Lines that name a holder and not a licence (fixed pattern).
-COPYRIGHT = re.compile(r"(?im)^[^\w\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$")
+COPYRIGHT = re.compile(r"(?aim)^[^\w\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$")
 
 # Equivalent spellings (fixed values, after the public matching guidelines for licence texts).
 SPELLINGS = {
@@ -69,9 +69,13 @@ def digest(text: str | None) -> str | None:
     return hashlib.sha256(left.encode()).hexdigest() if left else None
 
 
+def known_digests(texts: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    return sorted({(name, digest(text)) for name, text in texts or KNOWN})
+
+
 def known_table(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """``(license_id, digest)`` of known texts."""
-    rows = sorted({(name, digest(text)) for name, text in texts or KNOWN})
+    rows = known_digests(texts)
     return spark.createDataFrame(rows, "license_id string, digest string")
 
 

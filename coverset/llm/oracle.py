@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from coverset.llm.licenses import COPYRIGHT, PHRASES, SPELLINGS, known_digests
 from coverset.llm.sharding import KEYS, MULTIPLIERS, PRIME
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
@@ -87,4 +88,28 @@ SELECT doc_id, size, text_crc32, row_no, y AS place, 'rows' AS law, (y % 40)::IN
 FROM f JOIN walk w ON w.x = f.row_no AND w.y < w.n
 """
 
-ORACLE = {"op3_embedding_dedup": OP3, "op5_decontaminate": OP5, "op8_sharding": OP8}
+def _digest(text: str) -> str:
+    """sha256 of the canonical form of a text, null if nothing is left."""
+    bare = f"regexp_replace(coalesce({text}, ''), '{COPYRIGHT.pattern.replace('(?aim)', '(?im)')}', '', 'g')"
+    found = _WORDS.replace("coalesce(text, '')", bare)
+    spelt = "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items()) + " ELSE x END"
+    joined = f"' ' || array_to_string(list_transform({found}, lambda x: {spelt}), ' ') || ' '"
+    for phrase, one in PHRASES.items():
+        joined = f"replace({joined}, ' {phrase} ', ' {one} ')"
+    return f"(SELECT CASE WHEN c <> '' THEN sha256(c) END FROM (SELECT trim({joined}) AS c))"
+
+
+OP7 = f"""
+WITH known(license_id, digest) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in known_digests())}),
+d AS (SELECT doc_id, {_digest("text")} AS digest FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+marks AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT doc_id, {_digest("line")} AS digest FROM lines) JOIN known USING (digest) GROUP BY doc_id
+)
+SELECT d.doc_id, d.digest, k.license_id, coalesce(m.notices, '') AS notices
+FROM d LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest) k ON k.digest = d.digest
+LEFT JOIN marks m ON m.doc_id = d.doc_id
+"""
+
+ORACLE = {"op7_licenses": OP7, "op3_embedding_dedup": OP3, "op5_decontaminate": OP5, "op8_sharding": OP8}
