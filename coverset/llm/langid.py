@@ -153,6 +153,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, out = [], []
         for lang, text, h in zip(*(part.column(i).to_pylist() for i in range(3))):
             raw = utf8(text)
+            if not raw:
+                continue
             rng = np.random.default_rng(h & 0xFFFFFFFF)
             for start in rng.integers(0, max(1, len(raw) - WINDOW // 2), WINDOWS_EACH).tolist():
                 langs.append(lang)
@@ -167,12 +169,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     give ``WINDOWS_EACH`` windows each. None if no row can be learned from.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") > 0))
-    sizes = {r["lang"]: r["count"] for r in docs.select(F.col(lang_col).cast("string").alias("lang")).groupBy("lang").count().collect() if r["lang"]}
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    # A third is held out, so half as many again are asked for.
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 1.5 * DOCS_EACH / n))])
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, DOCS_EACH / n))])
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(21))
     chosen = rows.filter(F.pmod(h, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text", h.alias("h"))
     sample = chosen.mapInArrow(_windows, "lang string, raw binary").limit(2 * DOCS_EACH * WINDOWS_EACH * len(sizes)).toArrow()

@@ -304,10 +304,10 @@ def near_duplicates(
     if layout is None:
         layout = pigeonhole(64, distance, 3) if planes == 1 else bands(64 * planes, 20, 1)
     made = materialise(fingerprints(docs, shingle, planes, id_col, text_col))
-    # A fingerprint's node is its least document, or a negative stand-in where it has none or shares it (an id that
-    # repeats with several texts). Stand-ins lie below every id, so they are told apart by ``real``.
+    # A fingerprint's node is itself, or its hash where it is longer than a long.
+    node = F.element_at("fp", 1) if planes == 1 else F.xxhash64("fp")
     least = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = materialise(least.select("fp", "least", F.xxhash64("fp").bitwiseOR(F.lit(-(2**63))).alias("node")))
+    nodes = materialise(least.select("fp", "least", node.alias("node")))
     edges = links(nodes, layout, distance, block_rows)
     several = made.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("one"), F.max("fp").alias("two")).filter("one <> two")
     shared = materialise(made.join(several.select("doc_id"), "doc_id", "left_semi").distinct().join(nodes.select("fp", "node"), "fp").select("doc_id", "node"))
