@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,12 +37,6 @@ def words(text: str | None) -> list[bytes]:
     return utf8(text).translate(WORD_BYTES).split()
 
 
-def word_codes(text: str | None) -> np.ndarray:
-    """A 32-bit checksum for each word of the lower-cased text."""
-    found = words(text.lower()) if text else []
-    return np.fromiter(map(zlib.crc32, found), dtype=np.uint32, count=len(found))
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -7,55 +7,64 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverset.llm.common import append, fit_logistic, held_out, logistic, slices, spread, unused, word_codes
-from coverset.session import lookup_join, materialise
+from coverset.llm.common import append, fit_logistic, held_out, slices, spread, unused, words
+from coverset.session import fits_broadcast, lookup_join, materialise
 
-# Expressions are told apart by a hash of this many bits: the model holds at most this many ratios, whatever the corpus.
-BUCKET_BITS = 22
 # Absolute discount; shared backoff count of an expression; log factor that an expression must stand out by.
 DISCOUNT, BACKOFF, CONTRAST = 0.75, 0.5, 1.4
 # Labelled rows (never counted by the models) that calibrate the score, at most.
 CALIBRATION_ROWS = 20_000
 REJECT = 0.7
+# Expressions with a ratio that travel to the tasks as two arrays (12 bytes each); a larger model is joined by word.
+MODEL_BYTES, RATIO_BYTES = 48 * 1024 * 1024, 12
 
 
 @dataclass
 class Model:
-    """Nonzero log ratios by bucket, and the calibration (None: no class is known)."""
-
-    buckets: np.ndarray
-    ratios: np.ndarray
-    calibration: tuple | None
-
-    def dense(self) -> np.ndarray:
-        out = np.zeros(1 << BUCKET_BITS, np.float32)
-        out[self.buckets] = self.ratios
-        return out
+    """Log ratios by word, either as sorted arrays or, beyond ``MODEL_BYTES``, as a table ``(word, ratio)``.
 
+    ``calibration`` is None when no class is known.
+    """
 
-def _bucket(codes: np.ndarray) -> np.ndarray:
-    return ((codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+    words: np.ndarray
+    ratios: np.ndarray
+    table: DataFrame | None = None
+    calibration: tuple | None = None
 
 
-def _features(text: str | None, ratios: np.ndarray) -> tuple[float, float]:
-    """Toxic minus ordinary log-likelihood for each word, and the log of the length."""
-    codes = word_codes(text)
-    return (float(ratios[_bucket(codes)].mean()), float(np.log1p(len(codes)))) if len(codes) else (0.0, 0.0)
+def _codes(text: str | None) -> np.ndarray:
+    """A 63-bit hash for each word of the lower-cased text."""
+    found = words(text.lower()) if text else []
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)) >> np.uint64(1)).astype(np.int64)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class, word and word before it, each combination once a slice, in one long."""
+    """Each word with the word before it, whose lowest bit is replaced by the class; each pair once a slice."""
     for part in slices(batches):
-        keys = []
+        pairs = []
         for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-            codes = word_codes(text)
-            before = np.concatenate([np.zeros(1, np.int64), codes[:-1].astype(np.int64)])[: len(codes)]
-            keys.append(_bucket(codes) << 33 | before << 1 | int(toxic))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], names=["key"])
+            codes = _codes(text)
+            before = np.concatenate([np.zeros(1, np.int64), codes[:-1]])[: len(codes)]
+            pairs.append(np.stack([codes, before & ~1 | int(toxic)]))
+        if pairs:
+            word, context = np.concatenate(pairs, axis=1)
+            order = np.lexsort((context, word))
+            word, context = word[order], context[order]
+            fresh = np.ones(len(word), bool)
+            fresh[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(word[fresh]), pa.array(context[fresh])], names=["word", "context"])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row key, each different word of the row, and how often it stands there."""
+    for part in slices(batches, 32):
+        for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            word, n = np.unique(_codes(text), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), key)), pa.array(word), pa.array(n.astype(np.int64))], names=["row", "word", "n"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -66,7 +75,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     return lookup_join(rows, marks, "doc_id", "doc_id", 64)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_bytes: int = MODEL_BYTES) -> Model:
     """Count contexts of every expression in every labelled training document, and calibrate.
 
     The probability of a word in a class follows its Kneser-Ney continuation
@@ -76,27 +85,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and a contrast: an expression keeps the common estimate unless it is that
     much likelier in toxic texts, so that sampling noise and the mix of languages
     do not add up over a long text.
+    Every expression has a count of its own, so the model grows with the corpus:
+    up to ``model_bytes`` the ratios travel to the tasks, beyond that the words
+    of the documents are joined with them; the scores are the same.
     A quarter of the training rows is not counted and calibrates the score
     (at most ``CALIBRATION_ROWS`` of them).
     """
     text = F.col(text_col).cast("string").alias("text")
     rows = labelled(docs, labels, "toxic", id_col, [text])
     aside = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0
-    keys = rows.filter(~aside).select("text", "mark").mapInArrow(_contexts, "key long").distinct()
-    counts = keys.groupBy(F.shiftright("key", 33).alias("bucket")).agg(F.sum(F.col("key").bitwiseAND(F.lit(1))).alias("toxic"), F.count(F.lit(1)).alias("every"))
-    counts = materialise(counts.select("bucket", "toxic", (F.col("every") - F.col("toxic")).alias("plain")))
+    pairs = rows.filter(~aside).select("text", "mark").mapInArrow(_contexts, "word long, context long").distinct()
+    counts = pairs.groupBy("word").agg(F.sum(F.col("context").bitwiseAND(F.lit(1))).alias("toxic"), F.count(F.lit(1)).alias("every"))
+    counts = materialise(counts.select("word", "toxic", (F.col("every") - F.col("toxic")).alias("plain")))
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("plain").alias("o")).first()
+    model = Model(np.empty(0, np.int64), np.empty(0, np.float32))
     if not totals["t"] or not totals["o"]:
-        return Model(np.empty(0, np.int64), np.empty(0, np.float32), None)
+        return model
     share = totals["t"] / totals["o"]
     toxic = F.greatest(F.col("toxic") - DISCOUNT, F.lit(0.0)) + BACKOFF
     plain = F.greatest(F.col("plain") - DISCOUNT, F.lit(0.0)) * share + BACKOFF
-    ratio = F.greatest(F.log(toxic / plain) - CONTRAST, F.lit(0.0))
-    # At most 2 ** BUCKET_BITS rows of 12 bytes, whatever the corpus.
-    found = counts.select("bucket", ratio.cast("float").alias("ratio")).filter("ratio <> 0").toArrow()
-    model = Model(found["bucket"].to_numpy().astype(np.int64), found["ratio"].to_numpy(), None)
-    ratios = docs.sparkSession.sparkContext.broadcast(model)
-    known = append(rows.filter(aside), "delta double, length double", _scorer(ratios, _features), ["text"])
+    ratio = F.log(toxic / plain) - CONTRAST
+    found = counts.select("word", ratio.cast("float").alias("ratio")).filter("ratio > 0")
+    if fits_broadcast(found, RATIO_BYTES, model_bytes):
+        table = found.toArrow().sort_by("word")
+        model.words, model.ratios = table["word"].to_numpy(), table["ratio"].to_numpy()
+    else:
+        model.table = materialise(found)
+    known = _weighed(rows.filter(aside), model, "text", "delta", "length")
     sample = known.select("doc_id", "mark", "delta", "length").orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id", "delta").limit(CALIBRATION_ROWS).toArrow()
     y = sample["mark"].to_numpy().astype(float)
     if len(set(y.tolist())) == 2:
@@ -104,29 +119,45 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _scorer(held, feature):
-    """Column computation with the model's dense table made once a task."""
-    kept: list[np.ndarray] = []
-
+def _weigh(held):
     def compute(columns: list) -> list:
-        if not kept:
-            kept.append(held.value.dense())
-        return [list(c) for c in zip(*(feature(t, kept[0]) for t in columns[0]))] or [[], []]
+        known, ratios = held.value
+        deltas, lengths = [], []
+        for text in columns[0]:
+            codes = _codes(text)
+            total = 0.0
+            if len(codes) and len(known):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                total = float(ratios[at][known[at] == codes].sum(dtype=np.float64))
+            deltas.append(total / max(len(codes), 1))
+            lengths.append(float(np.log1p(len(codes))))
+        return [deltas, lengths]
 
     return compute
 
 
-def _judge(held):
-    inner = _scorer(held, _features)
+def _weighed(rows: DataFrame, model: Model, text_col: str, delta: str, length: str) -> DataFrame:
+    """``rows`` with toxic minus ordinary log-likelihood for each word, and the log of the length."""
+    if model.table is None:
+        held = rows.sparkSession.sparkContext.broadcast((model.words, model.ratios))
+        return append(spread(rows), f"{delta} double, {length} double", _weigh(held), [text_col])
+    key, total = unused("_row", rows.columns), unused("_total", rows.columns)
+    keyed = materialise(rows.withColumn(key, F.monotonically_increasing_id()))
+    counts = keyed.select(key, F.col(text_col).cast("string")).mapInArrow(_word_counts, "row long, word long, n long")
+    sums = lookup_join(counts, model.table, "word", "row", 64).groupBy(F.col("row").alias(key)).agg(F.sum(F.col("n") * F.col("ratio").cast("double")).alias(total))
+    sized = append(keyed, f"{length} double", lambda c: [[float(np.log1p(len(words(t.lower() if t else t)))) for t in c[0]]], [text_col])
+    per_word = F.coalesce(F.col(total), F.lit(0.0)) / F.greatest(F.round(F.expm1(length)), F.lit(1.0))
+    return sized.join(sums, key, "left").withColumn(delta, per_word).select(*rows.columns, delta, length)
 
-    def compute(columns: list) -> list:
-        model = held.value
-        if model.calibration is None:
-            return [[0.0] * len(columns[0]), [0] * len(columns[0])]
-        score = logistic(model.calibration, np.array(inner(columns)).T.reshape(-1, 2))
-        return [score.tolist(), (score >= REJECT).astype(int).tolist()]
 
-    return compute
+def _probability(model: Model, delta: str, length: str) -> Column:
+    if model.calibration is None:
+        return F.lit(0.0)
+    mean, scale, w = (v.tolist() for v in model.calibration)
+    z = F.lit(w[-1])
+    for k, name in enumerate((delta, length)):
+        z = z + (F.col(name) - mean[k]) / scale[k] * w[k]
+    return 1.0 / (1.0 + F.exp(-z))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,14 +167,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     zero. Without labels of both classes the score is 0 everywhere. A null id is
     not held out.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    made = append(rows, "score double, predicted int", _judge(held), ["text"])
-    return made.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    made = _weighed(rows, model, "text", "delta", "length").withColumn("score", _probability(model, "delta", "length"))
+    return made.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows scored ``REJECT`` or more; all columns stay as they are."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
-    a, b = unused("_toxic_score", docs.columns), unused("_toxic", docs.columns)
-    return append(spread(docs), f"{a} double, {b} int", _judge(held), [text_col]).filter(F.col(b) == 0).drop(a, b)
+    model = train(docs, labels, id_col, text_col)
+    a, b = unused("_delta", docs.columns), unused("_length", docs.columns)
+    return _weighed(docs, model, text_col, a, b).filter(_probability(model, a, b) < REJECT).drop(a, b)

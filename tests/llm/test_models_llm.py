@@ -59,10 +59,20 @@ def test_toxicity_learns_from_no_held_out_row(spark, toxic_rows):
     flipped = spark.createDataFrame([(i, q, 1 - t if outside(i) else t) for i, q, t in marks], "doc_id long, quality int, toxic int")
     plain = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     one, two = toxicity.train(docs, plain), toxicity.train(docs, flipped)
-    assert sorted(zip(one.buckets, one.ratios)) == sorted(zip(two.buckets, two.ratios))
+    assert len(one.words) and one.words.tolist() == two.words.tolist() and one.ratios.tolist() == two.ratios.tolist()
     assert np.allclose(one.calibration[2], two.calibration[2])
 
 
+def test_toxicity_model_beyond_a_broadcast(spark, toxic_rows):
+    rows, marks = toxic_rows
+    docs = spark.createDataFrame([*rows, (900, None, "en", "s", 0), (901, "", None, None, 0), (3, rows[3][1], "en", "s", 1)], DOC)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    small, large = toxicity.train(docs, labels), toxicity.train(docs, labels, model_bytes=0)
+    assert small.table is None and large.table.count() == len(small.words) > 0
+    one, two = (sorted((r.doc_id, r.held_out, r.predicted, round(r.score, 9)) for r in toxicity.score(docs, m).collect()) for m in (small, large))
+    assert one == two and len(one) == docs.count()
+
+
 ODD = [(1, None, None, None, None), (2, "", "", "", 0), (None, "x y", None, "s", 1), (3, "!!! ...", "en", None, None), (3, "long " * 30_000, "en", "s", 5)]
 
 
