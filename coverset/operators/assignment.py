@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coverset.operators.quantiles import SMALL_ROWS, ranked_values
 from coverset.session import lookup_join, materialise
 
 _LOW = (1 << 33) - 1
@@ -43,9 +44,21 @@ def seeded_order(id_col: str, seed: int | str) -> list[Column]:
     return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col)]
 
 
-def sample_rows(df: DataFrame, n: int = 5000, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """At most ``n`` rows without replacement, the same ones for the same seed."""
-    return df.orderBy(*seeded_order(id_col, seed)).limit(n)
+def sample_rows(df: DataFrame, n: int = 5000, seed: int = 42, id_col: str = "id", small_rows: int = SMALL_ROWS) -> DataFrame:
+    """At most ``n`` rows without replacement, the same ones for the same seed.
+
+    The n-th place in the seeded order is found by counting, and the rows before
+    it are a filter: no task gathers the sample. Only rows that share that very
+    place (the same first 52 bits of the hash) are ordered among themselves.
+    """
+    total = df.count()
+    if n >= total or n <= 0:
+        return df.limit(max(n, 0)) if n <= 0 else df
+    order = seeded_order(id_col, seed)
+    place = F.coalesce(F.conv(F.substring(order[0], 1, 13), 16, 10).cast("double"), F.lit(-1.0))
+    edge = ranked_values(df.select(place.alias("place")), "place", [n - 1], total, small_rows)[0]
+    before = df.filter(place < edge)
+    return before.unionByName(df.filter(place == edge).orderBy(*order).limit(n - before.count()))
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""K-means on Spark ML."""
+"""K-means: on Spark ML, and from given centres."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverset.functions.metrics import as_items
+from coverset.operators.nearest import assign_to_centers
+from coverset.operators.representatives import label_means
+from coverset.session import discard, materialise
 
 # Starts of which the best is kept, whatever the size of the table.
 RESTARTS = 3
@@ -23,7 +26,7 @@ class KMeansResult:
     assignment: DataFrame  # id, cluster_id
     centers: DataFrame  # cluster_id, center
     cost: float
-    model: object
+    model: object | None
 
 
 def kmeans(
@@ -64,3 +67,35 @@ def kmeans(
     assignment = model.transform(source.select("id", "vector")).select("id", F.col("cluster_id").cast("long").alias("cluster_id"))
     items.unpersist()
     return KMeansResult(assignment, centers, cost, model)
+
+
+def kmeans_from(
+    df: DataFrame,
+    centers: DataFrame,
+    max_iter: int = 20,
+    tol: float = 1e-12,
+    id_col: str = "id",
+    item_col: str = "item",
+) -> KMeansResult:
+    """Euclidean k-means from given starting centres ``(cluster_id, center)``.
+
+    Rows and centres stay tables: each round assigns the rows (centres are
+    broadcast only if measured to be small) and averages the clusters with
+    map-side combining. A centre without rows stays where it is. It ends after
+    ``max_iter`` rounds, or when no centre moves by more than the root of ``tol``.
+    """
+    items = materialise(as_items(df, id_col, item_col, "euclidean"))
+    now = materialise(centers.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("center").cast("array<double>").alias("center")))
+    mean = F.coalesce("mean", "center")
+    moved = F.aggregate(F.zip_with("center", mean, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    for _ in range(max_iter):
+        placed = assign_to_centers(items, now).select("id", F.col("cluster_id").alias("label"))
+        means = label_means(items.join(placed, "id")).select(F.col("label").alias("cluster_id"), "mean")
+        fresh = materialise(now.join(means, "cluster_id", "left").select("cluster_id", mean.alias("center"), moved.alias("moved")))
+        discard(now)
+        now = fresh.drop("moved")
+        if fresh.filter(F.col("moved") > tol).isEmpty():
+            break
+    placed = materialise(assign_to_centers(items, now))
+    cost = placed.agg(F.sum(F.col("dist") * F.col("dist"))).first()[0]
+    return KMeansResult(placed.select("id", "cluster_id"), now, float(cost or 0.0), None)

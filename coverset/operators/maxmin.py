@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from coverset.functions.metrics import as_items, metric_named
 from coverset.operators.assignment import seeded_order
+from coverset.session import checkpoint_dir, discard, materialise
 
 POOL_ROWS = 2048
 STEP = 64
@@ -46,11 +48,10 @@ def _greedy(m, pool: pa.Table, picked: int, k: int, outside: tuple[float, int] |
     return chosen
 
 
-def _updated(items: DataFrame, metric: str, picks: pa.Table) -> DataFrame:
-    """``(id, item, dist)`` of the rows not yet picked, ``dist`` to the nearest pick."""
+def _updated(state: DataFrame, metric: str, picks: pa.Table) -> DataFrame:
+    """``(id, item, dist)`` without the new ``picks``, ``dist`` lowered where one of them is nearer."""
     m = metric_named(metric)
-    shared = items.sparkSession.sparkContext.broadcast(picks)
-    schema = StructType(list(items.schema.fields) + [StructField("dist", DoubleType())])
+    shared = state.sparkSession.sparkContext.broadcast(picks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -62,13 +63,13 @@ def _updated(items: DataFrame, metric: str, picks: pa.Table) -> DataFrame:
                 if part.num_rows == 0:
                     continue
                 block = m.load(part.column("item"))
-                far = np.full(part.num_rows, np.inf)
+                far = part.column("dist").to_numpy().copy()
                 for at in range(0, len(taken), STEP):
                     some = m.take(chosen, np.arange(at, min(at + STEP, len(taken))))
                     far = np.minimum(far, exact_columns(m, block, some).min(1))
-                yield pa.RecordBatch.from_arrays(part.columns + [pa.array(far)], names=part.schema.names + ["dist"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(far)], names=part.schema.names)
 
-    return items.mapInArrow(run, schema)
+    return state.mapInArrow(run, state.schema)
 
 
 def maxmin(
@@ -86,10 +87,12 @@ def maxmin(
     ``start`` is ``"first"`` (lowest id), ``"random"`` (by ``seed``) or an id.
     Ties go to the lowest id; ``k >= n`` picks every row.
 
-    Every round scans the rows once, map-only, against the picks so far and
-    keeps the ``pool_rows`` farthest. Distances to picks only shrink, so the
+    A stored table holds every row's distance to its nearest pick. Every round
+    takes its ``pool_rows`` farthest rows. Distances to picks only shrink, so the
     next pick is certain while the best pool row still beats the farthest row
-    outside the pool: one round yields many exact picks.
+    outside the pool: one round yields many exact picks. Only these new picks, at
+    most ``pool_rows``, travel to the tasks and lower the distances, so the work
+    is rows times ``k``; the picks themselves are appended to a table.
     """
     m = metric_named(metric)
     spark = df.sparkSession
@@ -109,19 +112,28 @@ def maxmin(
         if isinstance(start, int) and not items.isEmpty():
             raise ValueError(f"start row {start} not found")
         return spark.createDataFrame([], RESULT)
-    result = [(picks["id"][0].as_py(), 0, None)]
-    while len(result) < k:
-        farthest = _updated(items, metric, picks).orderBy(F.col("dist").desc(), "id").limit(pool_rows + 1)
-        top = farthest.toArrow().sort_by([("dist", "descending"), ("id", "ascending")])
+    store = os.path.join(checkpoint_dir(spark), f"coverset-picks-{uuid.uuid4().hex}")
+
+    def keep(rows: list[tuple]) -> None:
+        spark.createDataFrame(rows, RESULT).coalesce(1).write.mode("append").parquet(store)
+
+    keep([(picks["id"][0].as_py(), 0, None)])
+    state, done = materialise(_updated(items.select("id", "item", F.lit(float("inf")).alias("dist")), metric, picks.select(["id", "item"]))), 1
+    while done < k:
+        top = state.orderBy(F.col("dist").desc(), "id").limit(pool_rows + 1).toArrow().sort_by([("dist", "descending"), ("id", "ascending")])
         outside = None
         if top.num_rows > pool_rows:
             outside = (top["dist"][pool_rows].as_py(), top["id"][pool_rows].as_py())
             top = top.slice(0, pool_rows)
-        chosen = _greedy(m, top.combine_chunks(), len(result), k, outside)
+        chosen = _greedy(m, top.combine_chunks(), done, k, outside)
         if not chosen:
             break
-        result += [(row_id, len(result) + step, dist) for step, (_, dist, row_id) in enumerate(chosen)]
-        fresh = top.take([at for at, _, _ in chosen]).select(picks.column_names)
-        picks = pa.concat_tables([picks, fresh]).combine_chunks()
-    return spark.createDataFrame(result, RESULT)
-
+        keep([(row_id, done + step, dist) for step, (_, dist, row_id) in enumerate(chosen)])
+        done += len(chosen)
+        if done < k:
+            fresh = top.take([at for at, _, _ in chosen]).select(["id", "item"]).combine_chunks()
+            lowered = materialise(_updated(state, metric, fresh))
+            discard(state)
+            state = lowered
+    discard(state)
+    return spark.read.schema(RESULT).parquet(store)

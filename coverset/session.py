@@ -60,6 +60,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove the files of a table that ``materialise`` wrote and nothing reads any more."""
+    spark = table.sparkSession
+    for path in {os.path.dirname(f) for f in table.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fits_broadcast(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` is known, by counting, to be small enough to broadcast."""
     rows = limit // max(bytes_per_row, 1)

@@ -80,9 +80,18 @@ def write_subset(
     compression: str | None = None,
     run: str | None = None,
 ) -> str:
-    """Write the chosen rows under ``path/run=<run id>`` and return that folder."""
+    """Write the chosen rows under ``path/run=<run id>`` and return that folder.
+
+    ``sdf`` writes the texts of the ``record`` column.
+    """
     target = os.path.join(path, f"run={run or run_id()}")
-    writer = take_subset(df, ids, id_col).write
+    chosen = take_subset(df, ids, id_col)
+    if fmt == "sdf":
+        from coverset.sources.records import write_sdf_records
+
+        write_sdf_records(chosen, target, compression)
+        return target
+    writer = chosen.write
     if compression:
         writer = writer.option("compression", compression)
     if fmt == "csv":

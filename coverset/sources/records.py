@@ -103,6 +103,6 @@ def conversion_report(records: DataFrame) -> DataFrame:
     )
 
 
-def write_sdf_records(records: DataFrame, path: str) -> None:
+def write_sdf_records(records: DataFrame, path: str, compression: str | None = None) -> None:
     """Write record texts verbatim, ended by the record mark; null records are left out."""
-    records.filter("record IS NOT NULL").select("record").write.option("lineSep", RECORD_END).text(path)
+    records.filter("record IS NOT NULL").select("record").write.option("lineSep", RECORD_END).text(path, compression=compression)

@@ -247,3 +247,46 @@ ORACLE = {
         f"{_maxmin(EMB, 'list_distance(a.v, b.v)', 1.0, 'emb')}, d AS (SELECT e.id, min(list_distance(e.v, q.v)) AS dist FROM emb e, mm JOIN emb q ON q.id = mm.id GROUP BY e.id)", 1.25
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 }
+
+
+PART_LIBRARY = """p AS (SELECT p_partkey AS id, p_name, p_retailprice, p_size FROM part WHERE p_retailprice BETWEEN 920 AND 1500),
+    sc AS (SELECT avg(p_retailprice) AS mw, stddev_pop(p_retailprice) AS sw, avg(p_size) AS ms, stddev_pop(p_size) AS ss FROM p),
+    e AS (SELECT id, [(p_retailprice - mw) / sw, (p_size - ms) / ss] AS v FROM p, sc)"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Assignment after so many rounds from the first row of each label."""
+    steps = [f"{EMB}, {FIRSTS.format(t='emb')}, c0 AS MATERIALIZED (SELECT f.cluster_id, e.v AS c FROM firsts f JOIN emb e USING (id))"]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT e.id, arg_min(c.cluster_id, (list_distance(e.v, c.c), c.cluster_id)) AS g FROM emb e, c{k} c GROUP BY e.id)")
+        steps.append(
+            f"c{k + 1} AS MATERIALIZED (SELECT g AS cluster_id, list(m ORDER BY i) AS c FROM (SELECT g, i, avg(x) AS m FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) "
+            f"JOIN a{k} USING (id) GROUP BY g, i) GROUP BY g UNION ALL SELECT cluster_id, c FROM c{k} WHERE cluster_id NOT IN (SELECT g FROM a{k}))"
+        )
+    return f"WITH {', '.join(steps)} SELECT id, g AS cluster_id FROM a{rounds}"
+
+
+ORACLE |= {
+    "kmeans_from_start": _lloyd(4),
+    "pca_full_rank": f"""WITH {EMB}, m AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) GROUP BY i))
+        SELECT id, round(list_distance(v, m), 6) AS norm FROM emb, m""",
+    "pipeline_end_to_end": f"""WITH RECURSIVE {_maxmin(PART_LIBRARY, 'list_distance(a.v, b.v)', 1.0, 'e')},
+        d AS (SELECT e.id, min(list_distance(e.v, q.v)) AS dist FROM e, mm JOIN e q ON q.id = mm.id GROUP BY e.id)
+        SELECT id, p_name AS Name, p_retailprice AS MolWeight, p_size, round((SELECT avg(dist) FROM d), 6) AS mean_distance, round((SELECT max(dist) FROM d), 6) AS max_distance
+        FROM p WHERE id IN (SELECT id FROM mm)""",
+    "subset_sink_sdf": f"""WITH p AS (SELECT p_partkey AS id, * FROM part), {_picks('p', 2.0)}
+        SELECT CASE WHEN p_type = 'LARGE' THEN '' ELSE p_name END AS name, round({MASS}, 2) AS mol_weight FROM p WHERE p_type <> 'SMALL' AND id IN (SELECT id FROM picks)""",
+    "validation_report_full": f"""SELECT 'coverage' AS section, name, value FROM (UNPIVOT ({_coverage(EMB_DIST, 1.25)}) ON COLUMNS(*) INTO NAME name VALUE value)
+        UNION ALL SELECT 'properties', 'cluster_id library', round(avg(label), 6) FROM embeddings
+        UNION ALL SELECT 'properties', 'cluster_id subset', v FROM (WITH {EMB}, {EMB_PICKS} SELECT round(avg(cluster_id), 6) AS v FROM emb WHERE id IN (SELECT id FROM picks))
+        UNION ALL SELECT 'nearest', 'rows', count(*)::DOUBLE FROM embeddings
+        UNION ALL SELECT 'histogram', bin::VARCHAR, n::DOUBLE FROM ({ORACLE['validation_report']})""",
+    "scale_robust_counted": ORACLE["scale_robust"],
+}
+ORACLE |= {
+    f"{name}_blocked": ORACLE[name]
+    for name in (
+        "pairs_euclid_within", "pairs_tanimoto_within", "neighbour_counts", "nearest_euclid", "nearest_tanimoto", "k_nearest", "butina_euclid",
+        "reps_medoid", "silhouette", "similarity_stats", "sample_rows",
+    )
+}

@@ -13,7 +13,7 @@ from coverset.operators import (
     assignment, butina as butina_op, coverage as cov, density, distributions as dist, kmeans as km, knn,
     maxmin as mm, nearest as near, neighbours as nb, quality, reduction, representatives as reps, scaling,
 )
-from coverset.plans import clustering, selection, validation
+from coverset.plans import clustering, run as plan, selection, validation
 from coverset.session import attach, checkpoint_dir, materialise, spread
 from coverset.sources import library, records, stages
 from coverset.streaming import score
@@ -283,6 +283,20 @@ def kmeans_sizes(spark, sf):
     return fitted.assignment.groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
+def kmeans_from_start(spark, sf):
+    """Four rounds from the first row of each label."""
+    rows = emb(spark, sf)
+    firsts = reps.first_members(rows).join(rows.select("id", F.col("item").alias("center")), "id").select("cluster_id", "center")
+    return km.kmeans_from(rows, firsts, max_iter=4).assignment
+
+
+def pca_full_rank(spark, sf):
+    """All components keep every row's distance from the mean."""
+    rows = emb(spark, sf)
+    placed = reduction.Reducer("item", 64, 1.0, None).fit(rows).transform(rows, "pc")
+    return placed.select("id", F.round(F.sqrt(F.aggregate("pc", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
 def assign_label_centers(spark, sf):
     rows = emb(spark, sf)
     means = reps.label_means(reps.labelled_items(rows, "cluster_id", "id", "item", "euclidean"))
@@ -482,6 +496,20 @@ def validation_report(spark, sf):
     return report.histogram.select("bin", *r6("lower", "upper"), "n", F.round("density", 6).alias("density"))
 
 
+def validation_report_full(spark, sf):
+    """All parts of the report as ``(section, name, value)``."""
+    rows = emb(spark, sf)
+    report = validation.validate_subset(rows, emb_picks(rows).select("id"), ["cluster_id"], "euclidean", EMB_COVERED, bins=20)
+
+    def part(df, section, name, value):
+        return df.select(F.lit(section).alias("section"), name.alias("name"), F.round(value.cast("double"), 6).alias("value"))
+
+    both = part(library.metrics_long(report.coverage.select(*COVERAGE)), "coverage", F.col("metric"), F.col("value"))
+    both = both.unionByName(part(report.properties, "properties", F.concat_ws(" ", "property", "source"), F.col("mean")))
+    both = both.unionByName(part(report.nearest.agg(F.count("*").alias("n")), "nearest", F.lit("rows"), F.col("n")))
+    return both.unionByName(part(report.histogram, "histogram", F.col("bin").cast("string"), F.col("n")))
+
+
 # --- sources, sinks, streaming ---------------------------------------------------------------
 
 
@@ -500,6 +528,33 @@ def subset_sink(spark, sf):
     return library.read_library(spark, target, "csv", "id long, p_name string, p_size int")
 
 
+def subset_sink_sdf(spark, sf):
+    """Chosen records written as SDF, scanned back and flattened."""
+    made = _part_records(spark, sf)
+    target = library.write_subset(made, emb_picks(made.select("id")), scratch(spark, "subset"), fmt="sdf")
+    return records.sdf_to_table(library.read_library(spark, target, "sdf"))
+
+
+PART_LIBRARY = "id long, SMILES string, Name string, MolWeight double, p_size int"
+
+
+def pipeline_end_to_end(spark, sf):
+    """A CSV library filtered, featurised, reduced by PCA, selected, validated and written; the written rows and two figures."""
+    path = scratch(spark, "library") + ".csv"
+    part = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_type").alias("SMILES"), F.col("p_name").alias("Name"), F.col("p_retailprice").alias("MolWeight"), "p_size"
+    )
+    part.write.option("header", True).csv(path)
+    done = plan.run_selection(
+        library.read_library(spark, path, schema=PART_LIBRARY), scratch(spark, "run"), [(["MolWeight", "p_size"], 2)], {"MolWeight": (920.0, 1500.0)},
+        reduction.Reducer("item", 2, 1.0), properties=["MolWeight"], threshold=0.5, ratio=1.0, start="first",
+    )
+    lines = spark.read.text(done.metrics_path).select(F.split("value", ": ").alias("p"))
+    figures = {r["k"]: r["v"] for r in lines.select(F.get("p", F.lit(0)).alias("k"), F.get("p", F.lit(1)).cast("double").alias("v")).collect()}
+    written = library.read_library(spark, done.subset_path, "csv", PART_LIBRARY)
+    return written.select("id", "Name", "MolWeight", "p_size", *[F.round(F.lit(figures[c]), 6).alias(c) for c in ("mean_distance", "max_distance")])
+
+
 def metrics_sink(spark, sf):
     path = scratch(spark, "metrics")
     library.write_metrics(quality.cluster_sizes(emb(spark, sf)), path)
@@ -525,6 +580,7 @@ def _part_records(spark, sf):
     announced = F.when(F.col("p_type") == "SMALL", F.col("p_size") + 1).otherwise(F.col("p_size"))
     name = F.when(F.col("p_type") == "LARGE", F.lit("")).otherwise(F.concat(F.lit("> <IDNUMBER>\n "), F.col("p_name"), F.lit(" \n\n")))
     return part.select(
+        F.col("p_partkey").alias("id"),
         F.concat(
             F.col("p_partkey").cast("string"), F.lit("\n  made\n\n"), F.format_string("%3d  0  0  0  0  0            999 V2000\n", announced),
             F.array_join(atoms, "\n"), F.lit("\nM  END\n> <BRAND>\n"), F.col("p_brand"), F.lit("\n\n"), name,
@@ -608,7 +664,39 @@ QUERIES = {
         coverage_refined, coverage_tanimoto, property_compare, property_compare_quality, histogram_table, kde_table,
         similarity_stats, similarity_long, run_summary, sample_rows, validation_report, library_csv, subset_sink,
         metrics_sink, stage_round_trip, sdf_round_trip, conversion_report, assign_stream, assign_stream_batches,
-        reduce_stream, flagship,
+        reduce_stream, flagship, subset_sink_sdf, pipeline_end_to_end, validation_report_full, kmeans_from_start, pca_full_rank,
     )
 }
 QUERIES.update({f"scale_{kind}": _scaled(kind) for kind in ("standard", "minmax", "robust")})
+
+
+# --- the same answers on the paths for large tables: small blocks, nothing settled or broadcast outside them -----------
+
+
+def _over(source, run):
+    return lambda spark, sf: run(source(spark, sf))
+
+
+BLOCKED = {
+    "pairs_euclid_within": (emb, lambda rows: _edges(nb.neighbours(rows, "euclidean", EMB_CUTOFF, block_rows=100))),
+    "pairs_tanimoto_within": (docs, lambda rows: _edges(nb.neighbours(rows, "tanimoto", DOC_CUTOFF, block_rows=100))),
+    "neighbour_counts": (docs, lambda rows: nb.neighbour_counts(rows, "tanimoto", DOC_CUTOFF, block_rows=100)),
+    "nearest_euclid": (emb, lambda rows: near.nearest(rows, emb_picks(rows), "euclidean", broadcast_limit=0, block_rows=4).select("id", "ref_id", *r6("dist"))),
+    "nearest_tanimoto": (docs, lambda rows: near.nearest(rows, emb_picks(rows), "tanimoto", broadcast_limit=0, block_rows=8).select("id", "ref_id", *r6("dist"))),
+    "k_nearest": (emb, lambda rows: knn.k_nearest(rows, 5, block_rows=100).select("id", "other", F.col("rank").cast("long").alias("rank"), *r6("dist"))),
+    "butina_euclid": (emb, lambda rows: butina_op.butina(rows, "euclidean", EMB_CUTOFF, block_rows=100, finish_rows=0)),
+    "reps_medoid": (docs, lambda rows: reps.medoids(rows, "tanimoto", block_rows=64).select("cluster_id", "id", *r6("score"))),
+    "silhouette": (emb, lambda rows: quality.silhouette(rows, block_rows=100).select(*r6("silhouette_score"))),
+    "similarity_stats": (docs, lambda rows: dist.similarity_stats(rows, block_rows=128).select("pairs", *r6("mean", "median", "std"))),
+    "sample_rows": (emb, lambda rows: assignment.sample_rows(rows, assignment.target_size(rows.count(), 2.0), small_rows=0).select("id")),
+}
+QUERIES.update({f"{name}_blocked": _over(source, run) for name, (source, run) in BLOCKED.items()})
+
+
+def scale_robust_counted(spark, sf):
+    """Quartiles by interval counting, as for large tables."""
+    done = scaling.scale(_part_vectors(spark, sf), "robust", small_rows=0)
+    return done.select("id", *[F.round(F.get("item", F.lit(k)), 6).alias(f"f{k}") for k in range(4)])
+
+
+QUERIES["scale_robust_counted"] = scale_robust_counted
