@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from coverset.operators.assignment import dense_index, from_lists, sample_rows,
 from coverset.operators.butina import butina
 from coverset.operators.components import connected_components
 from coverset.operators.density import density_cluster
-from coverset.operators.kmeans import kmeans
+from coverset.operators.kmeans import kmeans, kmeans_from
 from coverset.operators.maxmin import maxmin
 from coverset.operators.representatives import medoids, nearest_to_means, representatives
 from coverset.plans.clustering import cluster
@@ -99,6 +101,24 @@ def test_kmeans_and_selection(spark, vec_tiny):
     assert (summary.records, summary.valid, summary.representatives, summary.subset_percent) == (6, 5, 1, 20.0)
 
 
+def test_kmeans_from_given_centres(spark, vec_tiny):
+    start = vec_tiny.filter("id IN (0, 3, 5)").select(F.col("id").alias("cluster_id"), F.col("item").alias("center"))
+    found = kmeans_from(vec_tiny, start)
+    assert {r.id: r.cluster_id for r in found.assignment.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
+    assert found.cost == pytest.approx(2.5)
+    far = start.unionByName(spark.createDataFrame([(9, [1e6] * len(vec_tiny.first().item))], start.schema))
+    kept = {r.cluster_id: r.center for r in kmeans_from(vec_tiny, far).centers.collect()}
+    assert len(kept) == 4 and kept[9][0] == 1e6
+
+
+def test_sample_by_counting(spark):
+    df = spark.range(500).unionByName(spark.range(3).selectExpr("7L AS id"))
+    order = sorted((r.id for r in df.collect()), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    for n in (0, 1, 60, 499, 503, 900):
+        for small in (0, 1_000_000):
+            assert sorted(r.id for r in sample_rows(df, n, small_rows=small).collect()) == sorted(order[:n])
+
+
 def test_cluster_reports_failures(spark, vec_tiny):
     assert cluster(vec_tiny, "nothing").status == "error"
     assert cluster(vec_tiny, "maxmin", "combo").status == "error"
