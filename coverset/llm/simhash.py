@@ -23,6 +23,10 @@ BLOCK_ROWS = 16_384
 HASHES = 16_384
 # Candidate pairs compared at a time, and per group before the breadth-first search takes over.
 PAIRS, MANY_PAIRS = 200_000, 4_000_000
+# Similarity of near copies, and texts of one candidate group kept together in a task while it is computed.
+SIMILARITY, TEXT_ROWS = 0.8, 128
+# Differing bits of 256 that make a candidate: a similarity of 0.8 is an angle of 39 bits, and three standard deviations.
+CANDIDATE_BITS = 56
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -55,20 +59,35 @@ def fingerprint(hashes: np.ndarray, planes: int) -> list[int]:
     return [int.from_bytes(np.packbits(row * 2 > len(hashes)).tobytes(), "big") for row in ones]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` with ``fp`` an array of ``planes`` longs. Null and word-less texts get zero."""
+def set_hash(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of the set of shingles: texts with the same shingles share it."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(np.unique(hashes).astype("<u8").tobytes())).astype(np.int64))
+
+
+def fingerprints(
+    docs: DataFrame, shingle: int = 5, planes: int = 1, id_col: str = "doc_id", text_col: str = "text", texts: bool = False
+) -> DataFrame:
+    """``(doc_id, fp)`` with ``fp`` an array of ``planes`` longs. Null and word-less texts get zero.
+
+    With ``texts`` also ``node``, the hash of the text's set of shingles, and the text.
+    """
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            made = [fingerprint(shingle_hashes(t, shingle), planes) for t in part.column(1).to_pylist()]
+            made, sets = [], []
+            for text in part.column(1).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                made.append(fingerprint(hashes, planes))
+                if texts:
+                    sets.append(set_hash(hashes))
             flat = np.array(made, np.uint64).reshape(-1).view(np.int64)
             ends = np.arange(0, len(flat) + 1, planes, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "fp"]
-            )
+            columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            more = [pa.array(sets, pa.int64()), part.column(1)] if texts else []
+            yield pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "fp", "node", "text"][: 2 + len(more)])
 
-    return rows.mapInArrow(run, "doc_id long, fp array<long>")
+    return rows.mapInArrow(run, "doc_id long, fp array<long>" + (", node long, text string" if texts else ""))
 
 
 def pigeonhole(bits: int, distance: int, segments: int) -> list[tuple[int, int, int]]:
@@ -274,50 +293,129 @@ def links(nodes: DataFrame, layout: list[tuple[int, int, int]], distance: int, b
     return cut.mapInArrow(_verify(tables, distance), "a long, b long")
 
 
+def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between sets of shingles: those with a Jaccard similarity of ``similarity`` or more.
+
+    Breadth-first: a set that is reached is not compared again.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    left, right = [], []
+    rest = np.flatnonzero(sizes)
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            own = flat[ends[at] - sizes[at] : ends[at]]
+            mark[own] = True
+            # Only sets of a size that can be similar at all are read.
+            fit = np.minimum(sizes[rest], sizes[at]) >= similarity * np.maximum(sizes[rest], sizes[at]) - 1e-9
+            common = np.array([np.count_nonzero(mark[flat[ends[k] - sizes[k] : ends[k]]]) for k in rest[fit].tolist()], np.int64)
+            mark[own] = False
+            near = fit.copy()
+            near[fit] = common >= similarity * (sizes[rest[fit]] + sizes[at] - common) - 1e-9
+            hits, rest = rest[near], rest[~near]
+            left.append(np.full(len(hits), at))
+            right.append(hits)
+            queue += hits.tolist()
+    return np.concatenate([np.empty(0, int), *left]), np.concatenate([np.empty(0, int), *right])
+
+
+def _compare(shingle: int, similarity: float):
+    """Links inside each run of one candidate group and block; rows arrive sorted by both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            left, right = similar_sets(sets, similarity) if len(sets) > 1 else ([], [])
+            if len(left):
+                who = np.array(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(who[left]), pa.array(who[right])], names=["a", "b"])
+
+        for part in slices(batches):
+            for root, block, node, text in zip(*(part.column(i).to_pylist() for i in range(4))):
+                if now != (root, block):
+                    yield from solve()
+                    now, nodes, sets = (root, block), [], []
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(text, shingle)))
+        yield from solve()
+
+    return run
+
+
+def verified(made: DataFrame, groups: DataFrame, shingle: int, similarity: float, text_rows: int = TEXT_ROWS) -> DataFrame:
+    """``(a, b)``: links of ``similarity`` or more that span every component of them inside the candidate groups.
+
+    ``made`` has ``(node, text)``, ``groups`` ``(node, root)``. Every two texts of a
+    group are compared, each once by its set of shingles; a group of more than
+    ``text_rows`` is cut into blocks and every two blocks meet in a group of their own.
+    """
+    sized = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / text_rows).cast("int").alias("blocks"))
+    asked = materialise(lookup_join(groups, sized, "root", "node", 64))
+    texts = lookup_join(made.select("node", "text"), asked, "node", "text", 64).groupBy("node", "root", "blocks").agg(F.first("text").alias("text"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cut = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("root", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), "node", "text")
+    cut = cut.repartition("root", "block").sortWithinPartitions("root", "block")
+    return cut.mapInArrow(_compare(shingle, similarity), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
     planes: int = 4,
-    distance: int = 51,
+    distance: int | None = None,
     layout: list[tuple[int, int, int]] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     block_rows: int = BLOCK_ROWS,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row for each row of ``docs``.
 
-    Two documents link when their fingerprints differ in at most ``distance``
-    bits; ``component_id`` is the smallest id reachable, the own one included.
-    The defaults take five words and a similarity of 0.8: 51 of 256 bits is
-    1 - 0.8. ``layout`` lists the segments. Without one, 64-bit fingerprints get
+    With a ``distance`` two documents link when their fingerprints differ in at
+    most that many bits. Without one they link when the Jaccard similarity of
+    their sets of distinct shingles is ``similarity`` or more, computed from the
+    texts; fingerprints within ``CANDIDATE_BITS`` of 256 only say which texts are
+    compared. ``component_id`` is the smallest id reachable, the own one
+    included. ``layout`` lists the segments. Without one, 64-bit fingerprints get
     the exact pigeonhole layout (no pair missed) and longer ones bands of 20
     bits with radius 1 (a pair at distance d of 256 is met with probability
     ``1 - (1 - P(Binomial(20, d/256) <= 1)) ** 12``: over 0.9 at 36 bits,
     0.999 at 20 bits).
 
-    Copies share a fingerprint and are one node. A null text counts as empty;
-    all texts without words share fingerprint zero. Rows that repeat an id are
-    each returned; an id with several texts joins their groups. A null id is
-    never a ``component_id`` unless its whole group has none. Other columns of
-    ``docs`` are not read.
+    Copies share a fingerprint (or a set of shingles) and are one node. A null
+    text counts as empty; all texts without words are one group. Rows that repeat
+    an id are each returned; an id with several texts joins their groups. A null
+    id is never a ``component_id`` unless its whole group has none. Other columns
+    of ``docs`` are not read.
     """
+    exact = distance is None
+    bits = CANDIDATE_BITS * planes // 4 if exact else distance
     if layout is None:
-        layout = pigeonhole(64, distance, 3) if planes == 1 else bands(64 * planes, 20, 1)
-    made = materialise(fingerprints(docs, shingle, planes, id_col, text_col))
-    # A fingerprint's node is itself, or its hash where it is longer than a long.
-    node = F.element_at("fp", 1) if planes == 1 else F.xxhash64("fp")
-    least = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = materialise(least.select("fp", "least", node.alias("node")))
-    edges = links(nodes, layout, distance, block_rows)
-    several = made.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("one"), F.max("fp").alias("two")).filter("one <> two")
-    shared = materialise(made.join(several.select("doc_id"), "doc_id", "left_semi").distinct().join(nodes.select("fp", "node"), "fp").select("doc_id", "node"))
+        layout = pigeonhole(64, bits, 3) if planes == 1 and not exact else bands(64 * planes, 20, 1)
+    made = fingerprints(docs, shingle, planes, id_col, text_col, texts=exact)
+    if not exact:
+        # A fingerprint's node is itself, or its hash where it is longer than a long.
+        made = made.withColumn("node", F.element_at("fp", 1) if planes == 1 else F.xxhash64("fp"))
+    made = materialise(made)
+    nodes = materialise(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")))
+    edges = links(nodes, layout, bits, block_rows)
+    if exact:
+        edges = verified(made, components(edges), shingle, similarity)
+    several = made.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("one"), F.max("node").alias("two")).filter("one <> two")
+    shared = materialise(made.select("doc_id", "node").join(several.select("doc_id"), "doc_id", "left_semi").distinct())
     hub = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
     edges = edges.unionByName(shared.join(hub, "doc_id").select("a", F.col("node").alias("b")))
     roots = components(edges)
-    placed = nodes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    sized = placed.join(named, "root").select("fp", "component_id")
-    return made.join(sized, "fp", "left").select("doc_id", "fp", "component_id")
+    sized = placed.join(named, "root").select("node", "component_id")
+    return made.select("doc_id", "fp", "node").join(sized, "node", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

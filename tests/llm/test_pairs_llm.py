@@ -95,6 +95,46 @@ def test_repeated_id_joins_its_groups(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 3)]
 
 
+def plain_similar(texts, similarity=0.8, size=5):
+    sets = []
+    for text in texts:
+        w = text.lower().split()
+        sets.append({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return roots(len(texts), pairs)
+
+
+def changed_texts(seed, shares, each, words=200):
+    """A fresh text and a copy with its tail replaced, ``each`` times for every Jaccard similarity in ``shares``."""
+    rng, out = np.random.default_rng(seed), []
+    for share in shares:
+        keep = int(np.ceil((words - 4) * 2 * share / (1 + share))) + 4
+        for _ in range(each):
+            one = [f"w{k}" for k in rng.integers(0, 10**9, words)]
+            out += [" ".join(one), " ".join(one[:keep] + [f"v{k}" for k in rng.integers(0, 10**9, words - keep)])]
+    return out
+
+
+def test_pairs_below_the_similarity_stay_apart(spark):
+    texts = changed_texts(5, (0.6, 0.65, 0.7, 0.75, 0.79), 12)
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert plain_similar(texts) == list(range(len(texts)))
+    assert all(r.component_id == r.doc_id for r in got)
+
+
+def test_blocks_of_a_candidate_group_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    now, texts = [f"w{k}" for k in range(120)], []
+    for step in range(30):  # a chain: only neighbours are similar
+        texts.append(" ".join(now))
+        now = now[5:] + [f"x{step}-{k}" for k in range(5)]
+    rows = [(int(k), texts[k]) for k in rng.permutation(30)]
+    docs = spark.createDataFrame([(xx, 0, t) for xx, t in rows], "node long, root long, text string")
+    edges = simhash.verified(docs, docs.select("node", "root"), 5, 0.8, text_rows=4).collect()
+    want = plain_similar(texts)
+    assert roots(30, [(e.a, e.b) for e in edges]) == want and len(set(want)) == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(50, 60), (60, 55), (70, 70), (60, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
