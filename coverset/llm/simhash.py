@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""SimHash near-duplicates by multi-index hashing, and near copies by the similarity of their shingles."""
 
 from __future__ import annotations
 
@@ -19,14 +19,16 @@ from coverset.session import lookup_join, materialise
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 # Members of one table key kept together in a task; a larger key is cut into blocks, which meet pair by pair.
 BLOCK_ROWS = 16_384
-# Shingle hashes turned into bits at a time.
-HASHES = 16_384
+# Shingle hashes turned into bits, and put into the orders of the minima, at a time.
+HASHES, MINIMA = 16_384, 512
 # Candidate pairs compared at a time, and per group before the breadth-first search takes over.
 PAIRS, MANY_PAIRS = 200_000, 4_000_000
 # Similarity of near copies, and texts of one candidate group kept together in a task while it is computed.
 SIMILARITY, TEXT_ROWS = 0.8, 128
-# Differing bits of 256 that make a candidate: a similarity of 0.8 is an angle of 39 bits, and three standard deviations.
-CANDIDATE_BITS = 56
+# A candidate agrees in all minima of one band: 1 - (1 - 0.8 ** 4) ** 20 = 0.99996 of the pairs at 0.8 are compared.
+BANDS, BAND_MINIMA = 20, 4
+# Odd multipliers and offsets that derive the orders of the minima from a shingle's hash (fixed values).
+ORDERS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND_MINIMA), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -64,30 +66,43 @@ def set_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(np.unique(hashes).astype("<u8").tobytes())).astype(np.int64))
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of the least shingles in ``BAND_MINIMA`` orders. No shingles, no keys."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(ORDERS.shape[1], 2**64 - 1, np.uint64)
+    for start in range(0, len(hashes), MINIMA):
+        part = hashes[None, start : start + MINIMA]
+        np.minimum(least, ((part ^ ORDERS[1][:, None]) * ORDERS[0][:, None]).min(axis=1), out=least)
+    rows = least.astype("<u8").reshape(BANDS, BAND_MINIMA)
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
 def fingerprints(
     docs: DataFrame, shingle: int = 5, planes: int = 1, id_col: str = "doc_id", text_col: str = "text", texts: bool = False
 ) -> DataFrame:
     """``(doc_id, fp)`` with ``fp`` an array of ``planes`` longs. Null and word-less texts get zero.
 
-    With ``texts`` also ``node``, the hash of the text's set of shingles, and the text.
+    With ``texts`` also ``node``, the hash of the text's set of shingles, its band keys and the text.
     """
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            made, sets = [], []
+            made, sets, keys = [], [], []
             for text in part.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 made.append(fingerprint(hashes, planes))
                 if texts:
                     sets.append(set_hash(hashes))
+                    keys.append(band_keys(hashes))
             flat = np.array(made, np.uint64).reshape(-1).view(np.int64)
-            ends = np.arange(0, len(flat) + 1, planes, dtype=np.int32)
+            ends = np.arange(len(made) + 1, dtype=np.int32) * planes
             columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            more = [pa.array(sets, pa.int64()), part.column(1)] if texts else []
-            yield pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "fp", "node", "text"][: 2 + len(more)])
+            more = [pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64())), part.column(1)] if texts else []
+            yield pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "fp", "node", "keys", "text"][: 2 + len(more)])
 
-    return rows.mapInArrow(run, "doc_id long, fp array<long>" + (", node long, text string" if texts else ""))
+    return rows.mapInArrow(run, "doc_id long, fp array<long>" + (", node long, keys array<long>, text string" if texts else ""))
 
 
 def pigeonhole(bits: int, distance: int, segments: int) -> list[tuple[int, int, int]]:
@@ -106,11 +121,6 @@ def pigeonhole(bits: int, distance: int, segments: int) -> list[tuple[int, int,
     return list(zip(starts, widths, radii))
 
 
-def bands(bits: int, width: int, radius: int) -> list[tuple[int, int, int]]:
-    """Equal segments over a long fingerprint: a pair is met when one segment differs in at most ``radius`` bits."""
-    return [(s, width, radius) for s in range(0, bits - width + 1, width)]
-
-
 def _parts(width: int, radius: int) -> list[tuple[int, int]]:
     """``radius + 1`` parts of a segment: one of them is equal in any two values within ``radius`` bits."""
     cuts = np.linspace(0, width, radius + 2).astype(int)
@@ -293,6 +303,13 @@ def links(nodes: DataFrame, layout: list[tuple[int, int, int]], distance: int, b
     return cut.mapInArrow(_verify(tables, distance), "a long, b long")
 
 
+def candidates(made: DataFrame) -> DataFrame:
+    """``(a, b)``: every node with the least node that shares a band key with it; ``made`` has ``(node, keys)``."""
+    rows = made.select("node", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last").select("key", "a")
+    return lookup_join(rows, materialise(shared), "key", "node", 64).filter("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
 def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links between sets of shingles: those with a Jaccard similarity of ``similarity`` or more.
 
@@ -380,13 +397,13 @@ def near_duplicates(
     With a ``distance`` two documents link when their fingerprints differ in at
     most that many bits. Without one they link when the Jaccard similarity of
     their sets of distinct shingles is ``similarity`` or more, computed from the
-    texts; fingerprints within ``CANDIDATE_BITS`` of 256 only say which texts are
-    compared. ``component_id`` is the smallest id reachable, the own one
-    included. ``layout`` lists the segments. Without one, 64-bit fingerprints get
-    the exact pigeonhole layout (no pair missed) and longer ones bands of 20
-    bits with radius 1 (a pair at distance d of 256 is met with probability
-    ``1 - (1 - P(Binomial(20, d/256) <= 1)) ** 12``: over 0.9 at 36 bits,
-    0.999 at 20 bits).
+    texts. Which texts are compared is said by the least shingles in
+    ``BANDS * BAND_MINIMA`` orders: a pair of similarity s shares a band with
+    probability ``1 - (1 - s ** BAND_MINIMA) ** BANDS``, 0.99996 at 0.8, whatever
+    the length of the texts. ``component_id`` is the smallest id reachable, the
+    own one included. ``layout`` lists the segments searched for a ``distance``:
+    64-bit fingerprints have the exact pigeonhole layout (no pair missed), longer
+    ones need one of the caller's.
 
     Copies share a fingerprint (or a set of shingles) and are one node. A null
     text counts as empty; all texts without words are one group. Rows that repeat
@@ -395,18 +412,20 @@ def near_duplicates(
     of ``docs`` are not read.
     """
     exact = distance is None
-    bits = CANDIDATE_BITS * planes // 4 if exact else distance
-    if layout is None:
-        layout = pigeonhole(64, bits, 3) if planes == 1 and not exact else bands(64 * planes, 20, 1)
+    if layout is None and not exact:
+        if planes != 1:
+            raise ValueError("fingerprints of more than 64 bits need a layout")
+        layout = pigeonhole(64, distance, 3)
     made = fingerprints(docs, shingle, planes, id_col, text_col, texts=exact)
     if not exact:
         # A fingerprint's node is itself, or its hash where it is longer than a long.
         made = made.withColumn("node", F.element_at("fp", 1) if planes == 1 else F.xxhash64("fp"))
     made = materialise(made)
     nodes = materialise(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")))
-    edges = links(nodes, layout, bits, block_rows)
     if exact:
-        edges = verified(made, components(edges), shingle, similarity)
+        edges = verified(made, components(candidates(made)), shingle, similarity)
+    else:
+        edges = links(nodes, layout, distance, block_rows)
     several = made.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("one"), F.max("node").alias("two")).filter("one <> two")
     shared = materialise(made.select("doc_id", "node").join(several.select("doc_id"), "doc_id", "left_semi").distinct())
     hub = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
@@ -423,6 +442,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Rows that repeat an id stand or fall together; a row without an id stays.
     """
+    if "distance" not in options:
+        options.setdefault("planes", 0)  # no fingerprint is looked at
     found = near_duplicates(docs, id_col=id_col, **options)
     gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct())
     # Ids only, and only of copies; counted before they are broadcast.

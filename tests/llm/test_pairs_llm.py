@@ -122,6 +122,14 @@ def test_pairs_below_the_similarity_stay_apart(spark):
     assert all(r.component_id == r.doc_id for r in got)
 
 
+def test_pairs_at_the_similarity_are_met(spark):
+    texts = changed_texts(7, (0.8,), 500, 60)
+    rows = list(enumerate(texts)) + [(2001, "one two three four five six seven eight"), (2002, "one two three four five six seven eight nine")]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), planes=0).collect()}
+    want = plain_similar([t for _, t in rows])
+    assert [got[d] for d, _ in rows] == [rows[k][0] for k in want] and sum(k != i for i, k in enumerate(want)) == 501
+
+
 def test_blocks_of_a_candidate_group_lose_no_link(spark):
     rng = np.random.default_rng(6)
     now, texts = [f"w{k}" for k in range(120)], []
