@@ -73,6 +73,34 @@ def test_toxicity_model_beyond_a_broadcast(spark, toxic_rows):
     assert one == two and len(one) == docs.count()
 
 
+def test_toxicity_of_rare_forms(spark):
+    rng = np.random.default_rng(8)
+    name = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    common, rows, marks = [name(6) for _ in range(300)], [], []
+    for i in range(600):
+        w = [str(x) for x in rng.choice(common, 80)]
+        bad = i % 4 == 0
+        for k in rng.choice(80, 4, replace=False):  # forms that stand in one text only
+            w[k] = ("zquorv" if bad else name(6)) + name(5)
+        rows.append((i, " ".join(w), "en", "s", 1))
+        marks.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(rows, DOC), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    for size in (toxicity.MODEL_BYTES, 0):
+        got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels, model_bytes=size)).collect() if r.held_out}
+        assert len(got) > 100 and all(got[i] == bad for i, _, bad in marks if i in got)
+
+
+def test_toxicity_recall_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
+    got = [(lang[r.doc_id], marks[r.doc_id], r.predicted) for r in queries.op2_toxicity(spark, sf).collect() if r.held_out and r.doc_id in marks]
+    recall = {x: np.mean([p for y, t, p in got if y == x and t]) for x in ("en", "de", "fr", "es")}
+    print({x: f'{sum(p for y, t, p in got if y == x and t)}/{sum(t for y, t, _ in got if y == x)}' for x in recall}, sum(p for _, t, p in got if not t))
+    assert min(recall.values()) >= 0.8 and np.mean([t for _, t, p in got if p]) >= 0.97
+
+
 ODD = [(1, None, None, None, None), (2, "", "", "", 0), (None, "x y", None, "s", 1), (3, "!!! ...", "en", None, None), (3, "long " * 30_000, "en", "s", 5)]
 
 
