@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 from coverset.llm.common import slices, spread, words
 from coverset.session import fits_broadcast, materialise
 
-# Lines that name a holder and not a licence (fixed pattern).
-COPYRIGHT = re.compile(r"(?aim)^[^\w\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$")
+# Lines that name a holder or a year and not a licence (fixed pattern). Lines of a licence's own text that a wrap happens to start with
+# "copyright", and clauses marked "(c)", stay.
+_OWN = r"(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|acts?|and|or|in|of|to|is|for|on|protection|treat(?:y|ies)|infringements?|claims?|rights?|ownership|disclaimers?)"
+COPYRIGHT = re.compile(
+    r"(?am)^[^\w\n]*(?:"
+    r"(?i:copyright|©|\(c\)[ \t]*copyright)(?:[ \t,:;-]|(?i:\(c\)|©|by\b))*(?:(?<=[)©])[ \t]*\S|[<\[{]|[12]\d{3}\b|(?!(?i:" + _OWN + r")\b)(?:[A-Z]|[^\x00-\x7f]))"
+    r"|(?i:\(c\))[ \t]*[12]\d{3}\b"
+    r"|(?i:all rights reserved)[^\w\n]*$"
+    r")[^\n]*$"
+)
 
 # Equivalent spellings (fixed values, after the public matching guidelines for licence texts).
 SPELLINGS = {

@@ -263,6 +263,21 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, licenses.known_table(spark).limit(0)).filter("license_id IS NOT NULL").count() == 0
 
 
+def test_licences_at_any_width():
+    import textwrap
+
+    head = "Copyright (c) 2020 Someone\n(C) Copyright Jane Doe\nAll rights reserved.\n\n"
+    for _, text in licenses.KNOWN:
+        want = licenses.digest(text)
+        for width in (20, 40, 60, 66, 70, 72, 76, 78, 79, 80, 100):
+            wrapped = "\n\n".join(textwrap.fill(part, width) for part in text.split("\n\n"))
+            assert {licenses.digest(wrapped), licenses.digest(head + wrapped), licenses.digest(wrapped.upper())} == {want}
+    isc = "provided that the above\ncopyright notice and this permission notice appear in all copies."
+    assert "copyright notice and this" in licenses.canonical(isc)
+    assert licenses.digest("(c) You must retain it") != licenses.digest("(c) You may drop it")
+    assert licenses.digest("Copyright Jane Doe\n© 2019, 2020 Firm\n(c) 2001 Firm") is None
+
+
 def test_licence_join_beyond_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(licenses, "fits_broadcast", lambda *a: False)
     docs = spark.createDataFrame([(1, "Released under the MIT License."), (2, "none")], "doc_id long, text string")
