@@ -1,5 +1,6 @@
 """Trained filters, the SentencePiece codec, the licence scan and the pipeline."""
 
+import os
 import struct
 import zlib
 
@@ -278,6 +279,42 @@ def test_licences_at_any_width():
     assert licenses.digest("Copyright Jane Doe\n© 2019, 2020 Firm\n(c) 2001 Firm") is None
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+    1. Redistributions of source code must retain the above copyright notice,
+       this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright
+       notice, this list of conditions and the following disclaimer in the
+       documentation and/or other materials provided with the distribution.
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD_NAME = """    3. Neither the name of the copyright holder nor the names of its contributors
+       may be used to endorse or promote products derived from this software
+       without specific prior written permission.
+"""
+
+
+def test_whole_licence_texts(spark):
+    rows = [(1, "Copyright (c) 2001 Firm\n" + BSD % "", "BSD-2-Clause"), (2, BSD % BSD_NAME, "BSD-3-Clause"), (3, BSD % "4. More.\n", None)]
+    shipped = "/usr/share/common-licenses"  # where the system has them
+    for k, (name, want) in enumerate((("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"))):
+        if os.path.exists(f"{shipped}/{name}"):
+            with open(f"{shipped}/{name}", encoding="utf-8") as file:
+                rows.append((10 + k, file.read(), want))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()
+    assert {r.doc_id: r.license_id for r in got} == {k: want for k, _, want in rows}
+    assert len({d for _, d in licenses.WHOLE}) == len(licenses.WHOLE)
+
+
 def test_licence_join_beyond_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(licenses, "fits_broadcast", lambda *a: False)
     docs = spark.createDataFrame([(1, "Released under the MIT License."), (2, "none")], "doc_id long, text string")
