@@ -57,7 +57,7 @@ def op9_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def op10_token_binary(spark, sf_dir: str) -> DataFrame:
-    manifest = tokenbin.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenbin.new_folder(spark))
+    manifest = tokenbin.write(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenbin.new_folder(spark), special=True)
     return tokenbin.read(manifest)
 
 

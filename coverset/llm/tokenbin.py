@@ -60,15 +60,19 @@ class Encoder:
 
     A text is cut where the pre-tokenizer parts it in any case (before a single
     space between two non-spaces; after a run of letters), so the joined ids are
-    those of the whole text.
+    those of the whole text. With ``special`` the vocabulary's special tokens are
+    one id in the text too, as the plain tokenizer has them: a text that holds
+    one is encoded whole. Without, they are text like any other.
     """
 
-    def __init__(self, description: str):
+    def __init__(self, description: str, special: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        held = sorted(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) if special else []
+        self.whole = re.compile("|".join(held)) if held else None
         self.memory: dict[str, bytes] = {}
         self.again: set[str] = set()
 
@@ -97,10 +101,13 @@ class Encoder:
             self.again = set()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = []
-        for text in texts:
+        cut, whole = [], {}
+        for k, text in enumerate(texts):
             if not text:
                 cut.append([])
+            elif self.whole and self.whole.search(text):
+                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                cut.append([])
             elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or ODD.search(text):
                 first, *rest = INNER_SPACE.split(text)
                 cut.append([first, *[" " + p for p in rest]])
@@ -111,22 +118,22 @@ class Encoder:
         self.again |= met.difference(new)
         joined = self._learn(new) if new else []
         get = self.memory.__getitem__
-        out = [np.frombuffer(b"".join(map(get, parts)), "<u4") for parts in cut]
+        out = [whole[k] if k in whole else np.frombuffer(b"".join(map(get, parts)), "<u4") for k, parts in enumerate(cut)]
         for piece in joined:  # cheap to join again
             del self.memory[piece]
         self._forget()
         return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder(description: str) -> Encoder:
+def encoder(description: str, special: bool = False) -> Encoder:
     """The worker's encoder, kept from task to task."""
-    key = zlib.crc32(description.encode())
+    key = (zlib.crc32(description.encode()), special)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(description)
+        _ENCODERS[key] = Encoder(description, special)
     return _ENCODERS[key]
 
 
@@ -209,6 +216,7 @@ class Reader:
 
 def write(
     docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, file_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+    special: bool = False,
 ) -> DataFrame:
     """Encode every text, write the files and return their manifest ``(file, start, n_docs, n_tokens)``.
 
@@ -218,6 +226,7 @@ def write(
     shuffled. Rows that repeat an id stay together, ordered by their ids'
     checksum; their file grows with them. Null ids come first (stored as the
     least long). A null text has the end id only. An empty table has no files.
+    ``special``: special tokens in a text are one id, as in the plain tokenizer.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = rows.count()
@@ -233,7 +242,7 @@ def write(
     bits = width_of(max(vocabulary, end_id + 1))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, stop = encoder(held.value), np.array([end_id], np.uint32)
+        known, stop = encoder(held.value, special), np.array([end_id], np.uint32)
         bounds = np.array(cuts, np.int64)
         for part in slices(batches):
             who = part.column(0).to_numpy(zero_copy_only=False)

@@ -133,6 +133,21 @@ def test_token_files_odd_rows(spark):
     assert tokenbin.read(empty).count() == 0
 
 
+def test_op10_is_the_unmodified_tokenizer(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = list(enumerate(["plain, text.", "end of page <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b  c <|endoftext|>\n", "<|endoftext", None, "last words"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for k, text in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op10_token_binary(spark, str(tmp_path)).collect())) == want and 50256 in t.encode(rows[1][1]).ids
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
 def test_packing_and_random_access(bits, tmp_path):
     rng = np.random.default_rng(bits)
