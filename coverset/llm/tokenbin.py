@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,19 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coverset.llm.common import slices
+from coverset.llm.pieces import by_bytes, piece_encoder
 from coverset.session import checkpoint_dir, materialise
 
 MAGIC = b"CVTOKBIN"
 # Ids in a block: a multiple of 8, so that every block starts on a byte.
 BLOCK_IDS = 8_192
-# Distinct pieces of text whose ids a Python worker remembers; those met once only are forgotten when it is full.
-MEMORY = 300_000
-# Plain texts are cut before each space, full stop and comma and around each line break: the byte-level pre-tokenizer
-# always parts there, provided that white space stands alone and no mark follows a mark. Others are cut by INNER_SPACE.
-ODD = re.compile(r"[\W_][.,]|[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-# A word and what follows it; the pre-tokenizer also parts where a run of letters ends.
-WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~].*)", re.S)
+# Files at most: their bounds are one list of quantiles on the driver.
+MAX_FILES = 10_000
 
 
 def width_of(vocabulary: int) -> int:
@@ -55,88 +48,6 @@ def unpack(raw: bytes, count: int, bits: int) -> np.ndarray:
     return (flags.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
-class Encoder:
-    """Byte-level ids of whole texts through the tokenizers library, each distinct piece encoded once.
-
-    A text is cut where the pre-tokenizer parts it in any case (before a single
-    space between two non-spaces; after a run of letters), so the joined ids are
-    those of the whole text. With ``special`` the vocabulary's special tokens are
-    one id in the text too, as the plain tokenizer has them: a text that holds
-    one is encoded whole. Without, they are text like any other.
-    """
-
-    def __init__(self, description: str, special: bool = False):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = not special
-        held = sorted(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) if special else []
-        self.whole = re.compile("|".join(held)) if held else None
-        self.memory: dict[str, bytes] = {}
-        self.again: set[str] = set()
-
-    def _learn(self, pieces: set[str]) -> list[str]:
-        """Remember the ids of the pieces; returns those made of a word and what follows it."""
-        fresh, cuts = set(), []
-        for piece in pieces:
-            cut = WORD.fullmatch(piece)
-            if cut is None:
-                fresh.add(piece)
-            else:
-                cuts.append((piece, cut[1], cut[2]))
-                fresh.update((cut[1], cut[2]))
-        order = list(fresh.difference(self.memory))
-        for piece, made in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
-            self.memory[piece] = array("I", made.ids).tobytes()
-        for piece, word, rest in cuts:
-            self.memory[piece] = self.memory[word] + self.memory[rest]
-        return [piece for piece, _, _ in cuts]
-
-    def _forget(self) -> None:
-        if len(self.memory) > MEMORY:
-            if len(self.again) > MEMORY // 2:
-                self.again = set()
-            self.memory = {p: self.memory[p] for p in self.again}
-            self.again = set()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut, whole = [], {}
-        for k, text in enumerate(texts):
-            if not text:
-                cut.append([])
-            elif self.whole and self.whole.search(text):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-                cut.append([])
-            elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or ODD.search(text):
-                first, *rest = INNER_SPACE.split(text)
-                cut.append([first, *[" " + p for p in rest]])
-            else:
-                cut.append(text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0"))
-        met = set().union(*cut)
-        new = met.difference(self.memory)
-        self.again |= met.difference(new)
-        joined = self._learn(new) if new else []
-        get = self.memory.__getitem__
-        out = [whole[k] if k in whole else np.frombuffer(b"".join(map(get, parts)), "<u4") for k, parts in enumerate(cut)]
-        for piece in joined:  # cheap to join again
-            del self.memory[piece]
-        self._forget()
-        return out
-
-
-_ENCODERS: dict[tuple[int, bool], Encoder] = {}
-
-
-def encoder(description: str, special: bool = False) -> Encoder:
-    """The worker's encoder, kept from task to task."""
-    key = (zlib.crc32(description.encode()), special)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(description, special)
-    return _ENCODERS[key]
-
-
 def open_fs(url: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URL (local paths, file, hdfs, s3, gs) and the path in it."""
     return pafs.FileSystem.from_uri(url) if "://" in url else (pafs.FileSystem.from_uri("file://" + os.path.abspath(url.removeprefix("file:"))))
@@ -220,8 +131,8 @@ def write(
 ) -> DataFrame:
     """Encode every text, write the files and return their manifest ``(file, start, n_docs, n_tokens)``.
 
-    Files hold ranges of ascending ids, about ``file_rows`` documents each, and
-    ``start`` counts the ids of the files before. Ranges are cut at quantiles of
+    Files hold ranges of ascending ids, about ``file_rows`` documents each (more
+    if that made over ``MAX_FILES`` files), and ``start`` counts the ids of the files before. Ranges are cut at quantiles of
     the id column alone, so that texts are encoded once and only packed ids are
     shuffled. Rows that repeat an id stay together, ordered by their ids'
     checksum; their file grows with them. Null ids come first (stored as the
@@ -230,8 +141,8 @@ def write(
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = rows.count()
-    count = max(1, -(-n // file_rows))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / count for k in range(1, count)], 100 * count).alias("c")).first()["c"] if count > 1 else []
+    count = min(max(1, -(-n // file_rows)), MAX_FILES)
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / count for k in range(1, count)], 10 * MAX_FILES).alias("c")).first()["c"] if count > 1 else []
     cuts = sorted(set(cuts or []))
     from tokenizers import Tokenizer
 
@@ -242,11 +153,11 @@ def write(
     bits = width_of(max(vocabulary, end_id + 1))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, stop = encoder(held.value, special), np.array([end_id], np.uint32)
+        known, stop = piece_encoder(held.value, special), np.array([end_id], np.uint32)
         bounds = np.array(cuts, np.int64)
-        for part in slices(batches):
+        for part in by_bytes(batches, 1):
             who = part.column(0).to_numpy(zero_copy_only=False)
-            made = [np.concatenate([x, stop]) for x in known.encode(part.column(1).to_pylist())]
+            made = [np.concatenate([x, stop]) for x in known.encode(part.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.searchsorted(bounds, who, "right").astype(np.int32)), part.column(0),
@@ -279,7 +190,8 @@ def write(
     fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
     packed = rows.mapInArrow(encode, "file_no int, doc_id long, n long, crc long, packed binary")
-    spans = packed.repartition(len(cuts) + 1, "file_no").sortWithinPartitions("file_no", "doc_id", "crc")
+    # One task for each file; by number, so that no two files meet in a task while others are idle.
+    spans = packed.repartitionById(len(cuts) + 1, F.col("file_no")).sortWithinPartitions("file_no", "doc_id", "crc")
     files = materialise(spans.mapInArrow(save, "file_no long, file string, n_docs long, n_tokens long"))
     # One row a file: the window below orders files, not documents.
     before = F.sum("n_tokens").over(W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1))
@@ -306,7 +218,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     )
 
     # Dealt out by file, so that tasks share the reading; a few bytes a row.
-    dealt = manifest.select("file", "start").repartition(max(1, manifest.count()), "file")
+    numbered = manifest.select("file", "start", F.expr("cast(regexp_extract(file, '([0-9]+)[.]bin$', 1) as int)").alias("no"))
+    dealt = numbered.repartitionById(max(1, manifest.count()), F.col("no")).select("file", "start")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
