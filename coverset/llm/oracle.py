@@ -59,6 +59,14 @@ def _feistel() -> str:
     return ", ".join(steps)
 
 
+# Unsigned crc32 of the bytes whose hex digits are h; ``crc`` holds the table t.
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, list_transform(range(8), lambda z: z::BIGINT)),
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+             lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"""
+
 OP8 = f"""
 WITH RECURSIVE crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, list_transform(range(8), lambda z: z::BIGINT)),
@@ -112,4 +120,56 @@ FROM d LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM known GROUP
 LEFT JOIN marks m ON m.doc_id = d.doc_id
 """
 
-ORACLE = {"op7_licenses": OP7, "op3_embedding_dedup": OP3, "op5_decontaminate": OP5, "op8_sharding": OP8}
+OP12 = f"""
+WITH {_CRC_TABLE}, c AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''),
+         md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), k AS (
+  SELECT conv_id, w, {_CRC} % 6 AS keep FROM (SELECT *, hex(encode(conv_id::VARCHAR)) AS h FROM c), crc
+), r AS (
+  SELECT k.conv_id, list_concat(list_slice(coalesce(b.w, []), 1, keep), list_slice(k.w, keep + 1, len(k.w))) AS w
+  FROM k LEFT JOIN c b ON b.conv_id = k.conv_id - k.conv_id % 100
+), m AS (
+  SELECT conv_id, d, list_slice(w, 1, d) AS p, len(w) AS n FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM r)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM m GROUP BY p, d
+), kids AS (
+  SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), own AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(p[d].text) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN kids USING (p)
+), sums AS (
+  SELECT list_slice(p, 1, a) AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own) GROUP BY 1
+)
+SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums s ON s.p = o.p LEFT JOIN nodes u ON o.d > 0 AND u.d = o.d - 1 AND u.p = list_slice(o.p, 1, o.d - 1)
+"""
+
+OP13 = f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY ALL),
+g AS (SELECT f, count(*) AS n FROM (SELECT unnest({_WORDS}) AS f FROM benchmark) GROUP BY f),
+bucket AS (
+  SELECT f, {_CRC} % 10000 AS b FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f UNION SELECT f FROM g)), crc
+),
+s AS (SELECT b, sum(n) AS s FROM f JOIN bucket USING (f) GROUP BY b),
+t AS (SELECT b, sum(n) AS t FROM g JOIN bucket USING (f) GROUP BY b),
+gain AS (
+  SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE)
+                  / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (b)
+),
+weight AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM f JOIN bucket USING (f) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM d LEFT JOIN weight USING (doc_id)
+),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+ORACLE = {"op12_prefix_trie": OP12, "op13_resample": OP13, "op7_licenses": OP7, "op3_embedding_dedup": OP3, "op5_decontaminate": OP5, "op8_sharding": OP8}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverset.llm import decontaminate, embeddings, langid, licenses, quality, sentencepiece, sharding, simhash, tokenbin, toxicity
+from coverset.llm import (
+    decontaminate, embeddings, langid, licenses, mixture, quality, resample, sentencepiece, sharding, simhash, tokenbin, toxicity, trie,
+)
 from coverset.llm.common import table
 
 
@@ -61,10 +63,22 @@ def op10_token_binary(spark, sf_dir: str) -> DataFrame:
     return tokenbin.read(manifest)
 
 
+def op11_packing(spark, sf_dir: str) -> DataFrame:
+    return mixture.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=4096, end_id=2)
+
+
+def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_resample(spark, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_toxicity, op3_embedding_dedup, op4_sentencepiece, op5_decontaminate, op6_language, op7_licenses, op8_sharding, op9_quality,
-        op10_token_binary,
+        op10_token_binary, op11_packing, op12_prefix_trie, op13_resample,
     )
 }
