@@ -26,7 +26,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, float):
         return None if math.isnan(value) else round(value, 9) + 0.0
