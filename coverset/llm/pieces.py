@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Pieces that a worker remembers: two generations of so many, about 200 bytes each.
-GENERATION = 300_000
+GENERATION = 200_000
 # Text bytes taken at a time and pieces whose ids are gathered at a time.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 GATHER = 1 << 18
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -182,6 +182,7 @@ class PieceEncoder:
             left = np.concatenate([whole, left])
         for k in left.tolist():
             made[k] = self._whole(texts[k].as_py())
+        pa.default_memory_pool().release_unused()  # several workers share an executor's memory
         return made
 
 
