@@ -10,20 +10,19 @@ is shuffled on.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from coverset.functions.metrics import Tanimoto, metric_named
-from coverset.session import lookup_join
+from coverset.session import lookup_join, materialise
 
 MIN_BLOCK, MAX_BLOCK = 256, 2048
-MAX_PIVOTS = 512
 MAX_UNIVERSE = 65_536
 PREFIX_SHIFT = 20
 
@@ -38,16 +37,19 @@ def blocked(
     left: DataFrame,
     right: DataFrame,
     kernel: Kernel,
-    schema: str,
+    schema: str | StructType,
     bounded_cells: bool = True,
     block_rows: int | None = None,
     one_cell: bool = False,
+    once: bool = False,
 ) -> DataFrame:
     """Run ``kernel`` on every pair of blocks of equal ``cell``.
 
     Both sides carry ``cell`` and ``id``. ``bounded_cells`` states that the
     number of cells is limited by construction, so their sizes may be broadcast.
     ``one_cell`` says that all rows share a cell: two counts replace the sizes.
+    ``once`` (with ``one_cell``, both sides one table) leaves out the mirror
+    image of every block pair.
     """
     cores = max(left.sparkSession.sparkContext.defaultParallelism, 1)
     share = math.sqrt(2.0 * cores)
@@ -66,6 +68,9 @@ def blocked(
         )
     )
 
+    if sizes is not None and not bounded_cells:
+        sizes = materialise(sizes)  # read twice to be measured and joined
+
     blocks = {}
     if one_cell:
         n_left, n_right = left.count(), right.count()
@@ -81,14 +86,16 @@ def blocked(
             placed = lookup_join(side, sizes, "cell", "id", bytes_per_row=32)
         # Fresh column identities: both sides may stem from one table.
         placed = placed.select(*[F.col(c).alias(c) for c in placed.columns])
-        return placed.withColumn(own, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))
-        ).drop("left_blocks", "right_blocks")
+        placed = placed.withColumn(own, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
+        first, last = F.lit(0), F.col(theirs) - 1
+        if once:
+            first, last = (F.col(own), last) if own == "left_block" else (first, F.col(own))
+        return placed.withColumn(other, F.explode(F.sequence(first, last))).drop("left_blocks", "right_blocks")
 
     keys = ["cell", "left_block", "right_block"]
     a = spread_over(left, "left_blocks", "right_blocks", "left_block", "right_block")
     b = spread_over(right, "right_blocks", "left_blocks", "right_block", "left_block")
-    out = struct(schema)
+    out = struct(schema) if isinstance(schema, str) else schema
     empty = to_arrow_schema(out).empty_table()
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
@@ -102,7 +109,7 @@ def blocked(
 class OneCell:
     """Every row may pair with every row: only the block cut applies."""
 
-    single = True
+    single, bounded = True, True
 
     def left(self, df: DataFrame) -> DataFrame:
         return df.withColumn("cell", F.lit(0).cast("long"))
@@ -113,58 +120,6 @@ class OneCell:
         return None
 
 
-class PivotCells:
-    """Cells around sample rows, with the generalised hyperplane bound.
-
-    A row lives in the cell of its nearest pivot. Its partners within ``r`` lie
-    in cells whose pivot is at most ``2 r`` farther from them than their own, so
-    the right side is copied to exactly those cells. Pivots only steer the
-    layout; any choice gives the same pairs.
-    """
-
-    single = False
-
-    def __init__(self, metric, cutoff: float, pivots: list):
-        self.metric = metric
-        self.reach = metric.bound_cutoff(cutoff)
-        self.pivots = pivots
-
-    def _place(self, df: DataFrame, homes_only: bool) -> DataFrame:
-        metric, reach, pivots = self.metric, self.reach, self.pivots
-        item_type = pa.list_(pa.float64() if metric.item_type == "array<double>" else pa.int32())
-        schema = StructType([StructField("cell", LongType())] + list(df.schema.fields))
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres = metric.bound_space(metric.load(pa.array(pivots, item_type)))
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                block = metric.bound_space(metric.load(batch.column("item")))
-                far = metric.bound(block, centres)
-                if homes_only:
-                    rows, cells = np.arange(len(far)), far.argmin(1)
-                else:
-                    margin = 2.0 * reach + 4.0 * metric.slack(block, centres) + 1e-9
-                    rows, cells = np.nonzero(far - far.min(1, keepdims=True) <= margin)
-                for lo in range(0, len(rows), 8192):
-                    part = batch.take(pa.array(rows[lo:lo + 8192]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cells[lo:lo + 8192].astype(np.int64))] + part.columns,
-                        names=["cell"] + part.schema.names,
-                    )
-
-        return df.mapInArrow(place, schema)
-
-    def left(self, df: DataFrame) -> DataFrame:
-        return self._place(df, homes_only=True)
-
-    def right(self, df: DataFrame) -> DataFrame:
-        return self._place(df, homes_only=False)
-
-    def owned(self, cell, a, b):
-        return None
-
-
 class BitCells:
     """Cells of on-bit sets by size band and, for crowded bands, by rare bit.
 
@@ -174,7 +129,7 @@ class BitCells:
     copies rows less often than cutting the band into blocks would.
     """
 
-    single = False
+    single, bounded = False, True
 
     def __init__(self, cutoff: float, ranks: list[int] | None, split: list[int], existing: list[int]):
         self.similar = 1.0 - cutoff
@@ -274,8 +229,8 @@ def cells_for(items: DataFrame, metric: str, cutoff: float, block_rows: int | No
         return BitCells(cutoff, ranks, sorted(split), sorted(bands))
     if not math.isfinite(m.bound_cutoff(cutoff)):
         return OneCell()
-    pivots = min(items.count() // block, MAX_PIVOTS)
-    if pivots < 2:
-        return OneCell()
-    chosen = items.orderBy(F.md5(F.col("id").cast("string")), "id").select("item").limit(pivots).collect()
-    return PivotCells(m, cutoff, [list(r["item"]) for r in chosen])
+    # Cells of the tree join in this module, so it is only known here.
+    from coverset.operators.pivots import TreeCells, grow
+
+    tree = grow(items, m, block)
+    return TreeCells(tree, m.bound_cutoff(cutoff)) if tree else OneCell()

@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from coverset.functions.metrics import as_items, metric_named
-from coverset.operators.cells import MAX_BLOCK, MAX_PIVOTS, OneCell, blocked
+from coverset.operators.cells import MAX_BLOCK, OneCell, blocked
+from coverset.operators.pivots import grow
 from coverset.session import materialise
 
 PAIR = "id long, other long, dist double"
@@ -48,9 +48,10 @@ def k_nearest(
 ) -> DataFrame:
     """``(id, other, dist, rank)``: exact ``k`` nearest other rows, rank from 1.
 
-    Larger inputs are cut into pivot cells. A row first searches its own cell;
-    the distance of its ``k``-th find there limits which other cells, by the
-    hyperplane bound, can still hold a nearer row.
+    Larger inputs are cut into the leaves of a pivot tree. A row first searches
+    its own leaf; the distance of its ``k``-th find there, or of the ``k``-th
+    nearest pivot on its way, limits which other leaves can still hold a nearer
+    row.
     """
     m = metric_named(metric)
     items = as_items(df, id_col, item_col, metric)
@@ -58,51 +59,19 @@ def k_nearest(
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         return pa.table(nearest_k_in_block(m, x, y, k))
 
-    pivots = min(items.count() // (block_rows or MAX_BLOCK), MAX_PIVOTS)
-    if pivots < 2 or metric == "cosine":
+    # Cosine distance is no metric; its bounds would not hold for nearest rows.
+    items = items if metric == "cosine" else materialise(items)
+    tree = None if metric == "cosine" else grow(items, m, block_rows or MAX_BLOCK)
+    if tree is None:
         cell = OneCell()
         return _best(blocked(cell.left(items), cell.right(items), kernel, PAIR, True, block_rows, True), k)
-    chosen = [
-        list(r["item"]) for r in items.orderBy(F.md5(F.col("id").cast("string")), "id").select("item").limit(pivots).collect()
-    ]
-    item_type = pa.list_(pa.float64() if m.item_type == "array<double>" else pa.int32())
-
-    def home(batches):
-        centres = m.load(pa.array(chosen, item_type))
-        for batch in batches:
-            if batch.num_rows:
-                cell = m.matrix(m.load(batch.column("item")), centres).argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64))] + batch.columns, names=["cell"] + batch.schema.names)
-
-    placed = materialise(items.mapInArrow(home, StructType([StructField("cell", LongType())] + list(items.schema.fields))))
-    own = materialise(_best(blocked(placed, placed, kernel, PAIR, True, block_rows), k))
-    limits = own.groupBy("id").agg(F.max("dist").alias("limit"), F.count("*").alias("n"))
-    limits = limits.withColumn("limit", F.when(F.col("n") >= k, F.col("limit"))).drop("n")
-    asking = placed.join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
-
-    def visit(batches):
-        centres = m.load(pa.array(chosen, item_type))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            block = m.load(batch.column("item"))
-            far = m.matrix(block, centres)
-            mine = batch.column("cell").to_numpy()
-            limit = batch.column("limit").to_numpy()[:, None] + 4.0 * m.slack(block, centres) + 1e-9
-            open_cells = far - far[np.arange(len(mine)), mine][:, None] <= 2.0 * limit
-            open_cells[np.arange(len(mine)), mine] = False
-            rows, cells = np.nonzero(open_cells)
-            plain = batch.select(["id", "item"])
-            for lo in range(0, len(rows), 8192):
-                part = plain.take(pa.array(rows[lo:lo + 8192]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells[lo:lo + 8192].astype(np.int64))] + part.columns, names=["cell", "id", "item"]
-                )
-
-    asked = asking.select("cell", "id", "item", "limit").mapInArrow(
-        visit, StructType([StructField("cell", LongType())] + list(items.schema.fields))
-    )
-    other_cells = blocked(asked, placed, kernel, PAIR, True, block_rows)
-    return _best(own.select("id", "other", "dist").unionByName(other_cells), k)
-
-
+    # One more, as the row itself may be a pivot.
+    placed = materialise(tree.home(items, nearest_of=k + 1))
+    plain = placed.select("cell", "id", "item")
+    own = materialise(_best(blocked(plain, plain, kernel, PAIR, False, block_rows), k))
+    found = own.groupBy("id").agg(F.max("dist").alias("last"), F.count("*").alias("n"))
+    limits = found.select("id", F.when(F.col("n") >= k, F.col("last")).alias("last"))
+    asking = placed.select("id", "item", F.col("cell").alias("own"), "limit").join(limits, "id", "left")
+    asking = asking.withColumn("limit", F.least("limit", F.coalesce("last", F.lit(float("inf"))))).drop("last")
+    asked = tree.visit(asking).filter(F.col("cell") != F.col("own")).select("cell", "id", "item")
+    return _best(own.select("id", "other", "dist").unionByName(blocked(asked, plain, kernel, PAIR, False, block_rows)), k)

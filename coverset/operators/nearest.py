@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from coverset.functions.metrics import as_items, metric_named
-from coverset.operators.cells import MAX_BLOCK, MAX_PIVOTS, OneCell, blocked
+from coverset.operators.cells import MAX_BLOCK, OneCell, blocked
+from coverset.operators.pivots import grow
 from coverset.session import BROADCAST_BYTES, materialise
 
 TILE = 2048
@@ -70,61 +71,21 @@ def _broadcast_nearest(items: DataFrame, refs: pa.Table, metric: str, keep: list
 def _pivot_nearest(items: DataFrame, refs: DataFrame, metric: str, block_rows: int | None) -> DataFrame:
     """Both sides partitioned: a row visits only the cells that can hold its nearest."""
     m = metric_named(metric)
-    n = refs.count()
-    pivots = min(n // (block_rows or MAX_BLOCK), MAX_PIVOTS)
-    item_type = pa.list_(pa.float64() if m.item_type == "array<double>" else pa.int32())
-    single = pivots < 2 or m.name == "cosine"
+    # Cosine distance is no metric; its bounds would not hold for nearest rows.
+    tree = None if m.name == "cosine" else grow(materialise(refs), m, block_rows or MAX_BLOCK)
+    single = tree is None
     if single:
         left, right = OneCell().left(items), OneCell().right(refs)
     else:
-        chosen = [
-            list(r["item"])
-            for r in refs.orderBy(F.md5(F.col("id").cast("string")), "id").select("item").limit(pivots).collect()
-        ]
-        placed_schema = StructType(
-            [StructField("cell", LongType()), StructField("far", DoubleType())] + list(refs.schema.fields)
-        )
-
-        def home(batches):
-            centres = m.load(pa.array(chosen, item_type))
-            for batch in batches:
-                if batch.num_rows:
-                    far = m.matrix(m.load(batch.column("item")), centres)
-                    cell = far.argmin(1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cell.astype(np.int64)), pa.array(far[np.arange(len(cell)), cell])] + batch.columns,
-                        names=["cell", "far"] + batch.schema.names,
-                    )
-
-        placed = materialise(refs.mapInArrow(home, placed_schema))
-        radius = {r["cell"]: r["far"] for r in placed.groupBy("cell").agg(F.max("far").alias("far")).collect()}
-        radii = np.array([radius.get(k, -np.inf) for k in range(pivots)])
-
-        def visit(batches):
-            centres = m.load(pa.array(chosen, item_type))
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                block = m.load(batch.column("item"))
-                far = m.matrix(block, centres)
-                # The nearest pivot is itself a reference: an upper bound.
-                bound = far.min(1, keepdims=True) + 4.0 * m.slack(block, centres) + 1e-9
-                rows, cells = np.nonzero((far - radii[None, :] <= bound) & (far <= 3.0 * bound))
-                for lo in range(0, len(rows), 8192):
-                    part = batch.take(pa.array(rows[lo:lo + 8192]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cells[lo:lo + 8192].astype(np.int64))] + part.columns,
-                        names=["cell"] + part.schema.names,
-                    )
-
-        left = items.mapInArrow(visit, StructType([StructField("cell", LongType())] + list(items.schema.fields)))
-        right = placed.drop("far")
+        # The nearest pivot on the way home is itself a reference: an upper bound.
+        bounded = materialise(tree.home(items, nearest_of=1).drop("cell"))
+        left, right = tree.visit(bounded).drop("limit"), materialise(tree.home(refs))
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         best, who = best_in_block(m, m.load(x["item"]), m.load(y["item"]), y["id"].to_numpy())
         return pa.table({"id": x["id"], "dist": best, "ref_id": who})
 
-    found = blocked(left, right, kernel, "id long, dist double, ref_id long", block_rows=block_rows, one_cell=single)
+    found = blocked(left, right, kernel, "id long, dist double, ref_id long", single, block_rows, single)
     return (
         found.groupBy("id")
         .agg(F.min(F.struct("dist", "ref_id")).alias("best"))

@@ -70,21 +70,26 @@ def within(
     reduce: Reduce,
     schema: str,
     block_rows: int | None = None,
+    symmetric: bool = False,
 ) -> DataFrame:
     """Apply ``reduce`` to the close pairs of every block pair.
 
     ``reduce(left, right, i, j, d)`` gets the positions and distances of the
     pairs with ``d <= cutoff`` and different ids, and returns output columns.
-    Each ordered pair is seen exactly once.
+    Each ordered pair is seen exactly once. ``symmetric`` says that both sides
+    are one table and ``reduce`` wants each unordered pair: where all rows share
+    a cell, a block pair is then compared in one order only, and the left side
+    has a column ``turned``.
     """
     m = metric_named(metric)
+    owner = cells.owned
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         a, b = m.load(x["item"]), m.load(y["item"])
         near = m.matrix(a, b)
         mask = near <= cutoff + m.slack(a, b)
         mask &= x["id"].to_numpy()[:, None] != y["id"].to_numpy()[None, :]
-        owned = cells.owned(x["cell"][0].as_py(), a, b)
+        owned = owner(x["cell"][0].as_py(), a, b)
         if owned is not None:
             mask &= owned
         i, j = np.nonzero(mask)
@@ -96,11 +101,20 @@ def within(
             i, j, d = i[keep], j[keep], d[keep]
         return pa.table(reduce(x, y, i, j, d))
 
-    return blocked(cells.left(left), cells.right(right), kernel, schema, block_rows=block_rows, one_cell=cells.single)
+    first = cells.left(left)
+    once = symmetric and cells.single
+    if once:
+        first = first.withColumn("turned", F.lit(True))
+    return blocked(first, cells.right(right), kernel, schema, cells.bounded, block_rows, cells.single, once)
 
 
 def _edges(x, y, i, j, d):
     a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
+    if "turned" in x.column_names and x["left_block"][0] != x["right_block"][0]:
+        # This block pair stands for its mirror image too.
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        one, two = x["copies"].to_numpy()[i], y["copies"].to_numpy()[j]
+        return {"id_a": low, "id_b": high, "dist": d, "copies_a": np.where(a < b, one, two), "copies_b": np.where(a < b, two, one)}
     keep = a < b
     return {
         "id_a": a[keep],
@@ -111,6 +125,14 @@ def _edges(x, y, i, j, d):
     }
 
 
+PAIRS = "id_a long, id_b long, dist double, copies_a long, copies_b long"
+
+
+def close_pairs(groups: DataFrame, cells, metric: str, cutoff: float, block_rows: int | None = None) -> DataFrame:
+    """``(id_a, id_b, dist, copies_a, copies_b)`` for the pairs of distinct items of a ``copy_groups`` table, each once."""
+    return within(groups, groups, cells, metric, cutoff, _edges, PAIRS, block_rows, symmetric=True)
+
+
 def neighbours(
     df: DataFrame,
     metric: str = "tanimoto",
@@ -126,8 +148,7 @@ def neighbours(
     """
     items = materialise(copy_groups(as_items(df, id_col, item_col, metric), metric).drop("top_id"))
     cells = cells_for(items, metric, cutoff, block_rows)
-    schema = "id_a long, id_b long, dist double, copies_a long, copies_b long"
-    return within(items, items, cells, metric, cutoff, _edges, schema, block_rows)
+    return close_pairs(items, cells, metric, cutoff, block_rows)
 
 
 def _sum_copies(x, y, i, j, d):

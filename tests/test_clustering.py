@@ -32,9 +32,9 @@ def check_butina(found, dist, cutoff):
 @pytest.mark.parametrize("finish", [0, 1000])
 def test_butina_equals_sequential_rule(spark, finish):
     rows = vectors(80, 2, 3)
-    check_butina(butina(table(spark, rows), "euclidean", 0.7, finish_rows=finish), brute.euclid(rows), 0.7)
+    check_butina(butina(table(spark, rows), "euclidean", 0.7, finish_edges=finish), brute.euclid(rows), 0.7)
     sets = bit_rows(60, 5)
-    check_butina(butina(table(spark, sets, "int"), "tanimoto", 0.3, finish_rows=finish), brute.tanimoto(sets), 0.3)
+    check_butina(butina(table(spark, sets, "int"), "tanimoto", 0.3, finish_edges=finish), brute.tanimoto(sets), 0.3)
 
 
 def test_butina_by_hand(vec_tiny):

@@ -684,7 +684,7 @@ BLOCKED = {
     "nearest_euclid": (emb, lambda rows: near.nearest(rows, emb_picks(rows), "euclidean", broadcast_limit=0, block_rows=4).select("id", "ref_id", *r6("dist"))),
     "nearest_tanimoto": (docs, lambda rows: near.nearest(rows, emb_picks(rows), "tanimoto", broadcast_limit=0, block_rows=8).select("id", "ref_id", *r6("dist"))),
     "k_nearest": (emb, lambda rows: knn.k_nearest(rows, 5, block_rows=100).select("id", "other", F.col("rank").cast("long").alias("rank"), *r6("dist"))),
-    "butina_euclid": (emb, lambda rows: butina_op.butina(rows, "euclidean", EMB_CUTOFF, block_rows=100, finish_rows=0)),
+    "butina_euclid": (emb, lambda rows: butina_op.butina(rows, "euclidean", EMB_CUTOFF, block_rows=100, finish_edges=0)),
     "reps_medoid": (docs, lambda rows: reps.medoids(rows, "tanimoto", block_rows=64).select("cluster_id", "id", *r6("score"))),
     "silhouette": (emb, lambda rows: quality.silhouette(rows, block_rows=100).select(*r6("silhouette_score"))),
     "similarity_stats": (docs, lambda rows: dist.similarity_stats(rows, block_rows=128).select("pairs", *r6("mean", "median", "std"))),
