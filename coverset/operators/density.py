@@ -15,14 +15,15 @@ from coverset.functions.metrics import as_items, metric_named
 from coverset.operators.cells import OneCell, blocked
 from coverset.operators.components import SMALL_EDGES, component_roots, connected_components
 from coverset.operators.knn import k_nearest
+from coverset.operators.mergetree import TINY, clusters_by_tables, rate as rate_of
 from coverset.session import lookup_join, materialise
 
 EDGE = "struct<w: double, a: bigint, b: bigint>"
 
 # Neighbours listed per row beyond those the core distance needs.
 EXTRA_NEIGHBOURS = 8
-# Level of a zero distance, so that 1 / level stays finite.
-TINY = 1e-12
+# Up to so many splits (counted) are put in order by one local pass; more stay a table.
+SMALL_SPLITS = 100_000
 
 
 def _edge(w, x, y):
@@ -215,14 +216,16 @@ def density_cluster(
     item_col: str = "item",
     block_rows: int | None = None,
     small_edges: int = SMALL_EDGES,
+    small_splits: int = SMALL_SPLITS,
 ) -> DataFrame:
     """``(id, cluster_id)`` by hierarchical density clustering; -1 is noise.
 
     Exact for the order of edges by ``(weight, ids)``: mutual-reachability
     spanning tree, then every row's level of joining a component of
     ``min_cluster_size`` rows, then the tree edges that join two such
-    components. Only those splits, at most one per ``min_cluster_size`` rows and
-    in practice few, are put in order on the driver; rows stay on the executors.
+    components. Those splits are at most one per ``min_cluster_size`` rows. Up
+    to ``small_splits`` of them are put in order by one local pass; beyond, the
+    merge tree is built, summed and searched as a table (``mergetree``).
     The core distance is the distance to the ``min_samples``-th other row. The
     whole table is never one cluster. Clusters are numbered by lowest row id.
     """
@@ -255,6 +258,9 @@ def density_cluster(
     segments = materialise(connected_components(cores, marked.filter("NOT is_split").select("a", "b"), small_edges))
     for end in ("a", "b"):
         splits = splits.join(segments.select(F.col("id").alias(end), F.col("comp").alias(f"comp_{end}")), end)
+    splits = materialise(splits)
+    if splits.limit(small_splits + 1).count() > small_splits:
+        return clusters_by_tables(segments, levels, splits, small_edges=small_edges)
     split_tree = SplitTree(splits.select("w", "a", "b", "comp_a", "comp_b").toArrow())
     shared = df.sparkSession.sparkContext.broadcast(split_tree)
 
@@ -276,8 +282,8 @@ def density_cluster(
     located = materialise(
         segments.join(levels, "id").select("id", "comp", "level.w", "level.a", "level.b").mapInArrow(locate, placed_schema)
     )
-    rate = 1.0 / F.greatest(F.col("w"), F.lit(TINY))
-    sums = located.groupBy("node").agg(F.count("*").alias("n"), F.sum(rate).alias("mass"), F.min("id").alias("low")).collect()
+    # At most two nodes a split, whose number was checked.
+    sums = located.groupBy("node").agg(F.count("*").alias("n"), F.sum(rate_of(F.col("w"))).alias("mass"), F.min("id").alias("low")).collect()
     chosen = split_tree.choose({r["node"]: r["n"] for r in sums}, {r["node"]: r["mass"] for r in sums})
     lowest: dict[int, int] = {}
     for r in sums:
