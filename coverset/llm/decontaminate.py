@@ -1,4 +1,4 @@
-"""Benchmark decontamination by a broadcast set of test n-grams."""
+"""Benchmark decontamination by a broadcast set of hashed test n-grams."""
 
 from __future__ import annotations
 
@@ -13,52 +13,93 @@ from pyspark.sql import functions as F
 from coverset.llm.common import spread, slices, unused, words
 from coverset.session import materialise
 
-# Benchmark text held in one broadcast set; more is scanned in further passes.
-SET_BYTES = 32 * 1024 * 1024
+# Benchmark text held in one broadcast set; more is scanned in further passes. A worker's set takes about ten bytes for each.
+SET_BYTES = 16 * 1024 * 1024
 NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
 
 class Windows:
-    """Normalised windows of some benchmark items: exact words to the items that hold them."""
+    """Normalised windows of some benchmark items as sorted 64-bit hashes, verified by their words.
+
+    Words are numbers of a vocabulary; the items' words are one flat array. A
+    window costs 8 bytes for its hash and 12 for its place and item, so the set
+    takes a few bytes for each byte of benchmark text, whatever the overlap.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], size: int):
-        self.by_size: dict[int, dict[bytes, set]] = {}
         self.vocabulary: dict[bytes, int] = {}
-        for item, text in items:
-            found = words(text)
-            width = min(size, len(found))
-            for k in range(len(found) - width + 1 if width else 0):
-                key = b" ".join(found[k : k + width])
-                self.by_size.setdefault(width, {}).setdefault(key, set()).add(str(item))
-            for w in found:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
-        """Number of words, merged spans ``(first, last + 1)`` of hit words, items found."""
-        found = words(text)
-        known = np.fromiter((w in self.vocabulary for w in found), bool, len(found))
-        spans, items = [], set()
-        if known.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], known.view(np.int8), [0]])))
-            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                for width, table in self.by_size.items():
-                    for k in range(lo, hi - width + 1):
-                        hit = table.get(b" ".join(found[k : k + width]))
-                        if hit:
-                            spans.append((k, k + width))
-                            items |= hit
-        merged: list[tuple[int, int]] = []
-        for lo, hi in sorted(spans):
-            if merged and lo <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-            else:
-                merged.append((lo, hi))
-        return len(found), merged, items
+        known, flat, starts = self.vocabulary, [], [0]
+        self.names = [str(item) for item, _ in items]
+        for _, text in items:
+            flat.append(np.fromiter((known.setdefault(w, len(known) + 1) for w in words(text)), np.int32))
+            starts.append(starts[-1] + len(flat[-1]))
+        self.flat = np.concatenate([np.empty(0, np.int32), *flat])
+        lengths = np.diff(starts)
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in sorted({min(size, n) for n in lengths.tolist() if n}):
+            held = np.flatnonzero(np.minimum(lengths, size) == width)
+            counts = lengths[held] - width + 1
+            place = np.repeat(np.array(starts)[held], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            hashes = self._hash(self.flat, place, width)
+            order = np.argsort(hashes, kind="stable")
+            self.by_size[width] = (hashes[order], place[order], np.repeat(held, counts)[order].astype(np.int32))
+
+    @staticmethod
+    def _hash(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """A hash of the ``width`` numbers that begin at each place (wrapping 64-bit arithmetic)."""
+        out = np.zeros(len(at), np.uint64)
+        for k in range(width):
+            out = (out ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def _hits(self, ids: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places where a window of ``width`` words begins, and its item, once for every item that has it."""
+        hashes, place, item = self.by_size[width]
+        wanted = self._hash(ids, at, width)
+        lo, hi = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+        met = np.flatnonzero(hi > lo)
+        n = (hi - lo)[met]
+        where = np.repeat(at[met], n)
+        row = np.repeat(lo[met], n) + np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
+        same = np.ones(len(where), bool)
+        for k in range(width):
+            same &= ids[where + k] == self.flat[place[row] + k]
+        return where[same], item[row[same]]
+
+    def scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
+        """For each text its number of words, merged spans ``(first, last + 1)`` of hit words and the items found."""
+        get, many = self.vocabulary.get, [words(t) for t in texts]
+        # One array for all texts, an unknown word between them: no window goes over it.
+        ids = np.fromiter((i for found in many for i in (*[get(w, 0) for w in found], 0)), np.int32)
+        ends = np.cumsum([len(found) + 1 for found in many])
+        starts = ends - [len(found) + 1 for found in many]
+        known = np.concatenate([[0], np.cumsum(ids > 0)])
+        out: list[tuple[int, list, set]] = [(len(found), [], set()) for found in many]
+        for width in self.by_size:
+            at = np.flatnonzero(known[width:] - known[: max(len(known) - width, 0)] == width)
+            where, item = self._hits(ids, at, width)
+            text = np.searchsorted(ends, where, "right")
+            for t, k, i in zip(text.tolist(), (where - starts[text]).tolist(), item.tolist()):
+                out[t][1].append((k, k + width))
+                out[t][2].add(self.names[i])
+        return [(n, _united(spans), items) for n, spans, items in out]
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if merged and lo <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    return merged
 
 
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[DataFrame]:
     """The benchmark in parts of at most about ``limit`` bytes of text."""
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter("item IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // limit))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
@@ -69,7 +110,7 @@ def _scanner(windows, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Windows(windows.value, size)
         for part in slices(batches):
-            seen = [held.scan(t) for t in part.column(1).to_pylist()]
+            seen = held.scan(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -94,8 +135,8 @@ def scan(
     strings) of items with an occurring window. The windows travel in a broadcast
     set of at most ``set_bytes`` of benchmark text (a single longer item goes
     alone); a larger benchmark is scanned in several passes whose spans are
-    united. Null texts have no words; null items and items without words match
-    nothing. Documents of one id are scanned row by row in a single pass; over
+    united. Null texts have no words; items without an id, text
+    or words match nothing. Documents of one id are scanned row by row in a single pass; over
     several passes, rows are told apart by a row key.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -165,7 +206,7 @@ def remove(
         windows = Windows(held.value, size)
         for part in slices(batches):
             texts = part.column(place).to_pylist()
-            seen = [windows.scan(t) for t in texts]
+            seen = windows.scan(texts)
             bad = [sum(b - a for a, b in s) * share >= n and bool(s) for n, s, _ in seen]
             if mode == "documents":
                 if not all(bad):

@@ -164,11 +164,13 @@ def near_duplicates(
     nodes = materialise(groups.select(F.xxhash64("vector", F.lit(seed)).alias("node"), "vector", "copies", "least"))
     hashed = nodes.select("node", "vector", "copies").mapInArrow(_signs(tables, bits, seed), f"node long, vector array<{kind}>, copies long, codes array<int>")
     each = hashed.select(F.posexplode("codes").alias("tab", "code"), "node", "vector", "copies", "codes")
+    # Vectors of different length never meet.
+    bucket = F.xxhash64("tab", "code", F.size("vector"))
     crowded = materialise(
-        hashed.select(F.posexplode("codes").alias("tab", "code")).groupBy("tab", "code").count().filter(F.col("count") > block_rows)
-        .select((F.col("tab").cast("long") * 2**32 + F.col("code")).alias("bucket"), F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
+        hashed.select(F.posexplode("codes").alias("tab", "code"), "vector").groupBy(bucket.alias("bucket")).count().filter(F.col("count") > block_rows)
+        .select("bucket", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
     )
-    each = each.withColumn("bucket", F.col("tab").cast("long") * 2**32 + F.col("code"))
+    each = each.withColumn("bucket", bucket)
     if crowded.isEmpty():
         placed = each.select("tab", F.xxhash64("bucket").alias("grp"), F.lit(0).alias("side"), "node", "vector", "copies", "codes")
     else:

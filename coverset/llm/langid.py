@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,15 @@ HIDDEN = 8  # units of each direction
 DOCS_EACH, WINDOWS_EACH = 400, 6
 STEPS, BATCH, RATE = 350, 96, 0.02
 WINDOWS_AT_ONCE = 4096
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a letter category occurs; superscripts, fractions and other numerals are none."""
+    return any(category(m[0])[0] == "L" for m in WORDLIKE.finditer(text))
+
+
 class Network:
     """One gate each direction: f = sigmoid(E_f[x] + h U_f), c = tanh(E_c[x] + (f h) U_c), h += f (c - h)."""
 
@@ -203,7 +209,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
         model = held.value
         for part in slices(batches):
             texts = part.column(1).to_pylist()
-            known = [bool(model and t and LETTER.search(t)) for t in texts]
+            known = [bool(model and t and has_letter(t)) for t in texts]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if any(known):
                 pooled = model.pool([utf8(t) if ok else b"" for t, ok in zip(texts, known)])

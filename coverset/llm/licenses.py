@@ -15,10 +15,10 @@ from coverset.session import fits_broadcast, materialise
 
 # Lines that name a holder or a year and not a licence (fixed pattern). Lines of a licence's own text that a wrap happens to start with
 # "copyright", and clauses marked "(c)", stay.
-_OWN = r"(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|acts?|and|or|in|of|to|is|for|on|protection|treat(?:y|ies)|infringements?|claims?|rights?|ownership|disclaimers?)"
+OWN = r"(?:notices?|holders?|owners?|licen[sc]es?|laws?|statements?|interests?|acts?|and|or|in|of|to|is|for|on|protection|treat(?:y|ies)|infringements?|claims?|rights?|ownership|disclaimers?)"
 COPYRIGHT = re.compile(
     r"(?am)^[^\w\n]*(?:"
-    r"(?i:copyright|©|\(c\)[ \t]*copyright)(?:[ \t,:;-]|(?i:\(c\)|©|by\b))*(?:(?<=[)©])[ \t]*\S|[<\[{]|[12]\d{3}\b|(?!(?i:" + _OWN + r")\b)(?:[A-Z]|[^\x00-\x7f]))"
+    r"(?i:copyright|©|\(c\)[ \t]*copyright)(?:[ \t,:;-]|(?i:\(c\)|©|by\b))*(?:(?<=[)©])[ \t]*\S|[<\[{]|[12]\d{3}\b|(?!(?i:" + OWN + r")\b)(?:[A-Z]|[^\x00-\x7f]))"
     r"|(?i:\(c\))[ \t]*[12]\d{3}\b"
     r"|(?i:all rights reserved)[^\w\n]*$"
     r")[^\n]*$"
@@ -60,7 +60,9 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
 ]
-# Digests of whole texts that are not shipped (fixed values), with and without a title, numbers of clauses or the appendix after the terms.
+# Digests of whole texts that are not shipped (fixed values), with and without a title, numbers of clauses or the appendix after the terms:
+# of the licence files that Linux distributions and installed Python packages carry, under the pattern above. A change of the pattern,
+# spellings or phrases makes them void; a test compares those whose files the machine has.
 WHOLE = [
     ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
     ("Apache-2.0", "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64"),
@@ -121,13 +123,20 @@ def known_table(spark: SparkSession, texts: list[tuple[str, str]] | None = None)
     return spark.createDataFrame(rows, "license_id string, digest string")
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        texts = part.column(1).to_pylist()
-        lines = [sorted({d for line in (t or "").split("\n") if line and (d := digest(line))}) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array([digest(t) for t in texts], pa.string()), pa.array(lines, pa.list_(pa.string()))], names=["key", "digest", "lines"]
-        )
+def _units(names):
+    """Digests of whole texts, and of lines: all of them, or the licence names among those known (``names``, a broadcast)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = names.value if names else None
+        for part in slices(batches):
+            texts = part.column(1).to_pylist()
+            found = [{d for line in (t or "").split("\n") if line and (d := digest(line))} for t in texts]
+            lines = [sorted({known[d] for d in f if d in known} if known is not None else f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([digest(t) for t in texts], pa.string()), pa.array(lines, pa.list_(pa.string()))], names=["key", "digest", "lines"]
+            )
+
+    return run
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,22 +146,20 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     entire document (the first by name, if several). ``notices``: sorted licence
     ids, comma-joined, of the document's lines that are known texts as a whole;
     empty if none. Texts that are null or canonically empty have no digest and
-    match nothing. The known digests are broadcast if they are counted to be
-    few, and joined by digest otherwise. Other columns are not read.
+    match nothing, however long a text is. The known digests are broadcast if
+    they are counted to be few, and shuffled by digest otherwise. Other columns
+    are not read.
     """
     known = known_table(docs.sparkSession) if known is None else known.select("license_id", "digest")
     known = known.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    units = rows.mapInArrow(_units, f"key {kind}, digest string, lines array<string>")
+    fields = f"key {kind}, digest string, lines array<string>"
     if fits_broadcast(known, 256):
-        # Few and counted: one broadcast map serves the text's digest and those of all its lines.
-        table = {r["digest"]: r["license_id"] for r in known.collect()}
-        found = F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) if table else F.lit(None).cast("map<string,string>")
-        names = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda d: F.try_element_at(found, d)), lambda x: x.isNotNull())))
-        return units.select(
-            F.col("key").alias("doc_id"), "digest", F.try_element_at(found, F.col("digest")).alias("license_id"), F.coalesce(F.array_join(names, ","), F.lit("")).alias("notices")
-        )
-    units = materialise(units.withColumn("_row", F.monotonically_increasing_id()))
+        # Few and counted: a broadcast hash join by the text's digest; lines are looked up in the same table.
+        table = docs.sparkSession.sparkContext.broadcast({r["digest"]: r["license_id"] for r in known.collect()})
+        units = rows.mapInArrow(_units(table), fields).withColumn("notices", F.array_join("lines", ","))
+        return units.join(F.broadcast(known), "digest", "left").select(F.col("key").alias("doc_id"), "digest", "license_id", "notices")
+    units = materialise(rows.mapInArrow(_units(None), fields).withColumn("_row", F.monotonically_increasing_id()))
     lines = units.select("_row", F.explode("lines").alias("digest")).join(known, "digest").groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     return units.join(known, "digest", "left").join(lines, "_row", "left").select(F.col("key").alias("doc_id"), "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))

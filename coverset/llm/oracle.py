@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coverset.llm.licenses import COPYRIGHT, PHRASES, SPELLINGS, known_digests
+from coverset.llm.licenses import OWN, PHRASES, SPELLINGS, known_digests
 from coverset.llm.sharding import KEYS, MULTIPLIERS, PRIME
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
@@ -96,9 +96,27 @@ SELECT doc_id, size, text_crc32, row_no, y AS place, 'rows' AS law, (y % 40)::IN
 FROM f JOIN walk w ON w.x = f.row_no AND w.y < w.n
 """
 
+# The copyright lines in RE2, which knows no look-around: what may not follow the keyword is tested on the rest of the line.
+_KEY = r"^[^\w\n]*(?i:copyright|©|\(c\)[ \t]*copyright)"
+_SEP = r"(?:[ \t,:;-]|(?i:\(c\)|©|by\b))*"
+_SURE = "|".join(
+    [
+        r"^[^\w\n]*©[ \t]*\S", _KEY + _SEP + r"(?i:\(c\)|©)[ \t]*\S", _KEY + _SEP + r"[<\[{]", _KEY + _SEP + r"[12]\d{3}\b", _KEY + _SEP + r"B[yY]\b",
+        r"^[^\w\n]*(?i:\(c\))[ \t]*[12]\d{3}\b", r"^[^\w\n]*(?i:all rights reserved)[^\w\n]*$",
+    ]
+)
+_WORD = r"^[^\w\n]*(?i:(?:\(c\)[ \t]*)?copyright)" + _SEP
+
+
+def _holds(line: str) -> str:
+    """Whether a line names a holder or a year."""
+    rest = f"regexp_extract({line}, '{_WORD}((?:[A-Z]|[^\\x00-\\x7f]).*)$', 1, 's')"
+    return f"(regexp_matches({line}, '{_SURE}') OR ({rest} <> '' AND NOT regexp_matches({rest}, '^(?i:{OWN})\\b')))"
+
+
 def _digest(text: str) -> str:
     """sha256 of the canonical form of a text, null if nothing is left."""
-    bare = f"regexp_replace(coalesce({text}, ''), '{COPYRIGHT.pattern.replace('(?aim)', '(?im)')}', '', 'g')"
+    bare = f"array_to_string(list_filter(string_split(coalesce({text}, ''), chr(10)), lambda l: NOT {_holds('l')}), chr(10))"
     found = _WORDS.replace("coalesce(text, '')", bare)
     spelt = "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items()) + " ELSE x END"
     joined = f"' ' || array_to_string(list_transform({found}, lambda x: {spelt}), ' ') || ' '"

@@ -161,3 +161,22 @@ def test_packing_and_random_access(bits, tmp_path):
     file = tokenbin.Reader(f"file://{tmp_path}/x.bin")
     assert [file.document(k).tolist() for k in range(4)] == [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
     assert file.read(8190, 5).tolist() == ids[8190:8195].tolist()
+
+
+def test_items_without_an_id_match_nothing(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), ("7", None), ("8", "")], "item_id string, text string")
+    for set_bytes in (1, 10**6):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.judge(decontaminate.scan(docs, items, set_bytes=set_bytes)).collect()}
+        assert got == {1: (20, 0, 0), 2: (0, 0, 0)}
+
+
+def test_windows_are_verified_by_words():
+    """Every hash the same: words decide."""
+    held = decontaminate.Windows([("a", "one two three four"), ("b", "two three"), ("c", "")], 3)
+    held.by_size = {w: (np.zeros_like(h), p, i) for w, (h, p, i) in held.by_size.items()}
+    held._hash = lambda ids, at, width: np.zeros(len(at), np.uint64)
+    assert held.scan(["zero one two three", "three two one", None, "two two three two three"]) == [
+        (4, [(1, 4)], {"a", "b"}), (3, [], set()), (0, [], set()), (5, [(1, 5)], {"b"}),
+    ]
