@@ -33,14 +33,15 @@ def read_library(
     fmt: str | None = None,
     schema: str | StructType | None = LIBRARY_SCHEMA,
     infer: bool = False,
-    required: str = "SMILES",
+    required: str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
     """Scan a library: CSV with header, SDF records or parquet.
 
     CSV columns are matched by their header names in any order: those of
     ``schema`` get its types (missing ones are null), all others stay as text. A
-    file without the ``required`` column is an error. ``infer=True`` reads the
+    file without the ``required`` column is an error; by default that is the
+    schema's first column, and none if the types are found. ``infer=True`` reads the
     file twice to find the types; ``multi_line=True`` allows line breaks inside
     quotes, and then a file is one task. For parquet the stored schema is used.
     """
@@ -48,11 +49,13 @@ def read_library(
     if fmt == "csv":
         reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         raw = reader.option("inferSchema", bool(infer or schema is None)).csv(path)
-        if required not in raw.columns:
+        found = infer or schema is None
+        wanted = [] if found else (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        required = required or (wanted[0].name if wanted else None)
+        if required and required not in raw.columns:
             raise ValueError(f"{path} has no column {required!r}")
-        if infer or schema is None:
+        if found:
             return raw
-        wanted = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
         known = [
             (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted
         ]
