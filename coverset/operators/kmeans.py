@@ -1,4 +1,4 @@
-"""K-means: on Spark ML, and from given centres."""
+"""K-means: on Spark ML, from given centres, and by mini-batches for large tables."""
 
 from __future__ import annotations
 
@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverset.functions.metrics import as_items
+from coverset.operators.assignment import dense_index, seeded_order
+from coverset.operators.minibatch import minibatch_kmeans
 from coverset.operators.nearest import assign_to_centers
 from coverset.operators.representatives import label_means
 from coverset.session import discard, materialise
 
-# Starts of which the best is kept, whatever the size of the table.
+# Starts of which the best is kept below MINI_ROWS rows.
 RESTARTS = 3
+# From so many rows on k-means goes by mini-batches (a fixed value of the workload).
+MINI_ROWS = 10_000
 PARALLEL_FITS = 5
 
 
@@ -37,13 +41,26 @@ def kmeans(
     restarts: int = RESTARTS,
     id_col: str = "id",
     item_col: str = "item",
+    start: str = "parallel",
+    mini_rows: int = MINI_ROWS,
 ) -> KMeansResult:
-    """Euclidean k-means with the parallel k-means++ start, on all rows.
+    """Euclidean k-means of all rows; rows keep their label in ``cluster_id``.
 
-    It is fitted from ``restarts`` seeds and the lowest cost is kept. Rows keep
-    their label in ``cluster_id``.
+    Below ``mini_rows`` rows it is fitted from ``restarts`` seeds of the parallel
+    k-means++ start and the lowest cost is kept. A larger table goes by
+    mini-batches, whose centres stay a table however many there are.
+    ``start="rows"`` begins with the first ``k`` rows in seeded order instead and
+    repeats whole rounds (``kmeans_from``), which is the same on every cluster.
     """
-    items = as_items(df, id_col, item_col, "euclidean").withColumn("vector", array_to_vector("item"))
+    if start not in ("parallel", "rows"):
+        raise ValueError(f"unknown start {start!r}")
+    plain = as_items(df, id_col, item_col, "euclidean")
+    if start == "rows":
+        ranked = dense_index(plain.select("id", F.col("item").alias("center")), seeded_order("id", seed), "cluster_id").filter(F.col("cluster_id") < k)
+        return kmeans_from(plain, ranked.select("cluster_id", "center"), max_iter)
+    if plain.limit(mini_rows).count() >= mini_rows:
+        return KMeansResult(*minibatch_kmeans(plain, k, None, max_iter, seed), None)
+    items = plain.withColumn("vector", array_to_vector("item"))
     items = items.select("id", "vector").persist()
     n = items.count()
     if n == 0:
@@ -63,7 +80,7 @@ def kmeans(
         [(c, [float(v) for v in center]) for c, center in enumerate(model.clusterCenters())],
         "cluster_id long, center array<double>",
     )
-    source = as_items(df, id_col, item_col, "euclidean").withColumn("vector", array_to_vector("item"))
+    source = plain.withColumn("vector", array_to_vector("item"))
     assignment = model.transform(source.select("id", "vector")).select("id", F.col("cluster_id").cast("long").alias("cluster_id"))
     items.unpersist()
     return KMeansResult(assignment, centers, cost, model)

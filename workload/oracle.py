@@ -254,20 +254,35 @@ PART_LIBRARY = """p AS (SELECT p_partkey AS id, p_name, p_retailprice, p_size FR
     e AS (SELECT id, [(p_retailprice - mw) / sw, (p_size - ms) / ss] AS v FROM p, sc)"""
 
 
-def _lloyd(rounds: int) -> str:
-    """Assignment after so many rounds from the first row of each label."""
-    steps = [f"{EMB}, {FIRSTS.format(t='emb')}, c0 AS MATERIALIZED (SELECT f.cluster_id, e.v AS c FROM firsts f JOIN emb e USING (id))"]
+_BY_LABEL = f"{FIRSTS.format(t='emb')}, c0 AS MATERIALIZED (SELECT f.cluster_id, e.v AS c FROM firsts f JOIN emb e USING (id))"
+
+
+def _by_order(k: str) -> str:
+    """The first ``k`` rows in seeded order as centres 0, 1, ..."""
+    return f"c0 AS MATERIALIZED (SELECT r - 1 AS cluster_id, v AS c FROM (SELECT v, row_number() OVER (ORDER BY md5('42:' || id), id) AS r FROM emb) WHERE r <= {k})"
+
+
+def _lloyd(rounds: int, start: str, then: str = "") -> str:
+    """Assignment after so many rounds from the centres ``c0``; ``then`` goes on from the last rows ``a`` and centres ``c``."""
+    steps = [f"{EMB}, {start}"]
     for k in range(rounds + 1):
         steps.append(f"a{k} AS MATERIALIZED (SELECT e.id, arg_min(c.cluster_id, (list_distance(e.v, c.c), c.cluster_id)) AS g FROM emb e, c{k} c GROUP BY e.id)")
         steps.append(
             f"c{k + 1} AS MATERIALIZED (SELECT g AS cluster_id, list(m ORDER BY i) AS c FROM (SELECT g, i, avg(x) AS m FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) "
             f"JOIN a{k} USING (id) GROUP BY g, i) GROUP BY g UNION ALL SELECT cluster_id, c FROM c{k} WHERE cluster_id NOT IN (SELECT g FROM a{k}))"
         )
-    return f"WITH {', '.join(steps)} SELECT id, g AS cluster_id FROM a{rounds}"
+    steps.append(f"a AS (SELECT id, g AS cluster_id FROM a{rounds}), c AS (SELECT * FROM c{rounds})")
+    return f"WITH {', '.join(steps)} " + (then or "SELECT id, cluster_id FROM a")
 
 
 ORACLE |= {
-    "kmeans_from_start": _lloyd(4),
+    "kmeans_from_start": _lloyd(4, _BY_LABEL),
+    "kmeans_sizes": _lloyd(4, _by_order("10"), "SELECT cluster_id, count(*) AS n FROM a GROUP BY cluster_id"),
+    "select_by_kmeans": _lloyd(
+        4, _by_order("(SELECT greatest(2, least(CAST(floor(count(*) * 2.0::DOUBLE / 100) AS BIGINT), count(*) - 1)) FROM emb)"),
+        "SELECT arg_min(e.id, (list_distance(e.v, c.c), e.id)) AS id FROM a JOIN emb e USING (id) JOIN c ON c.cluster_id = a.cluster_id GROUP BY a.cluster_id",
+    ),
+    "kmeans_minibatch": "SELECT count(*) AS n, 10::BIGINT AS labels, count(*) AS nearest FROM embeddings",
     "pca_full_rank": f"""WITH {EMB}, m AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) GROUP BY i))
         SELECT id, round(list_distance(v, m), 6) AS norm FROM emb, m""",
     "pipeline_end_to_end": f"""WITH RECURSIVE {_maxmin(PART_LIBRARY, 'list_distance(a.v, b.v)', 1.0, 'e')},

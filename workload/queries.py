@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coverset.functions import arrays, featurize as feat, filters, fingerprints, metrics, shape, text
 from coverset.operators import (
-    assignment, butina as butina_op, coverage as cov, density, distributions as dist, kmeans as km, knn,
+    assignment, butina as butina_op, coverage as cov, density, distributions as dist, kmeans as km, knn, minibatch,
     maxmin as mm, nearest as near, neighbours as nb, quality, reduction, representatives as reps, scaling,
 )
 from coverset.plans import clustering, run as plan, selection, validation
@@ -278,8 +278,9 @@ def butina_tanimoto(spark, sf):
 
 
 def kmeans_sizes(spark, sf):
+    """Ten clusters from the first ten rows in seeded order, four rounds."""
     rows = emb(spark, sf)
-    fitted = km.kmeans(rows, 10)
+    fitted = km.kmeans(rows, 10, max_iter=4, start="rows")
     return fitted.assignment.groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
@@ -365,7 +366,25 @@ def select_by_butina(spark, sf):
 
 
 def select_by_kmeans(spark, sf):
-    return selection.select_subset(emb(spark, sf), "kmeans", "euclidean", ratio=2.0, restarts=1)
+    return selection.select_subset(emb(spark, sf), "kmeans", "euclidean", ratio=2.0, start="rows", max_iter=4)
+
+
+def kmeans_minibatch(spark, sf):
+    """Mini-batches from the parallel start: rows, labels in use and whether every row has its nearest centre."""
+    rows = emb(spark, sf)
+    labels, centers, _ = minibatch.minibatch_kmeans(rows, 10, batch_rows=100, max_batches=6)
+    best = nearest_centers_by_columns(rows, centers)
+    joined = labels.join(best, "id")
+    return joined.agg(
+        F.count("*").alias("n"), F.countDistinct("cluster_id").alias("labels"), F.count_if(F.col("cluster_id") == F.col("best")).alias("nearest")
+    )
+
+
+def nearest_centers_by_columns(rows: DataFrame, centers: DataFrame) -> DataFrame:
+    """``(id, best)`` by column expressions over a few collected centres."""
+    held = F.array(*[F.struct(F.lit(r.cluster_id).alias("c"), F.array(*map(F.lit, r.center)).alias("v")) for r in centers.orderBy("cluster_id").collect()])
+    far = F.transform(held, lambda c: F.struct(F.aggregate(F.zip_with("item", c["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), c["c"].alias("c")))
+    return rows.select("id", F.array_min(far)["c"].alias("best"))
 
 
 def select_by_density(spark, sf):
@@ -664,7 +683,7 @@ QUERIES = {
         coverage_refined, coverage_tanimoto, property_compare, property_compare_quality, histogram_table, kde_table,
         similarity_stats, similarity_long, run_summary, sample_rows, validation_report, library_csv, subset_sink,
         metrics_sink, stage_round_trip, sdf_round_trip, conversion_report, assign_stream, assign_stream_batches,
-        reduce_stream, flagship, subset_sink_sdf, pipeline_end_to_end, validation_report_full, kmeans_from_start, pca_full_rank,
+        reduce_stream, flagship, subset_sink_sdf, pipeline_end_to_end, validation_report_full, kmeans_from_start, kmeans_minibatch, pca_full_rank,
     )
 }
 QUERIES.update({f"scale_{kind}": _scaled(kind) for kind in ("standard", "minmax", "robust")})
