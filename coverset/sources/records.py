@@ -10,6 +10,12 @@ RECORD_MARK, RECORD_END = "$$$$", "$$$$\n"
 FIELD = r"(?m)^>[^<\n]*<([^>\n]+)>[^\n]*\n((?:[^\n]+\n?)*)"
 COUNTS_LINE = r"^[^\n]*\n[^\n]*\n[^\n]*\n([ \d]{3})[^\n]*V2000"
 ATOM_LINE = r"(?m)^ *(-?\d+\.\d+) *(-?\d+\.\d+) *(-?\d+\.\d+) +([A-Z][a-z]?)\b"
+# The newer block: counts and atoms on lines with a prefix, a line that ends in a hyphen goes on in the next.
+NEW_COUNTS = r"(?m)^M  V30 COUNTS +(\d+)"
+NEW_ATOMS = r"(?s)M  V30 BEGIN ATOM\n(.*?)M  V30 END ATOM"
+NEW_ATOM_LINE = r"(?m)^M  V30 +\d+ +([A-Z][a-z]?)\S* +(-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?) +(-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?) +(-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)"
+NEW_BLOCK = r"^[^\n]*\n[^\n]*\n[^\n]*\n[^\n]*V3000"
+NEW_JOIN = r"-[ \t]*\nM  V30 "
 NAME_FIELD = "IDNUMBER"
 
 # Mass of the main isotope of common elements.
@@ -28,7 +34,7 @@ def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     """``(name, props, atoms, n_atoms, is_valid, record)`` from record text.
 
     A record is valid when its counts line can be read and as many atom lines
-    follow as it announces.
+    follow as it announces, in a V2000 or a V3000 block.
     """
     text = F.regexp_replace(F.col(column), "\r\n", "\n")
     keys = F.regexp_extract_all(text, F.lit(FIELD), F.lit(1))
@@ -42,16 +48,18 @@ def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
     fields = F.map_from_entries(F.transform(unique, lambda p: F.struct(p["k"], p["v"])))
     block = F.element_at(F.split(text, r"(?m)^M  END", 2), 1)
 
-    def group(n: int):
-        return F.regexp_extract_all(block, F.lit(ATOM_LINE), F.lit(n))
+    newer = text.rlike(NEW_BLOCK)
+    joined = F.regexp_replace(block, NEW_JOIN, "")
 
-    atoms = F.transform(
-        F.arrays_zip(group(4).alias("e"), group(1).alias("x"), group(2).alias("y"), group(3).alias("z")),
-        lambda a: F.struct(
-            a["e"].alias("elem"), a["x"].cast("double").alias("x"), a["y"].cast("double").alias("y"), a["z"].cast("double").alias("z")
-        ),
-    )
-    announced = F.trim(F.regexp_extract(text, COUNTS_LINE, 1)).try_cast("int")
+    def atoms_of(lines, pattern: str, element: int, first: int):
+        groups = [F.regexp_extract_all(lines, F.lit(pattern), F.lit(k)).alias(n) for k, n in ((element, "e"), (first, "x"), (first + 1, "y"), (first + 2, "z"))]
+        return F.transform(
+            F.arrays_zip(*groups),
+            lambda a: F.struct(a["e"].alias("elem"), a["x"].cast("double").alias("x"), a["y"].cast("double").alias("y"), a["z"].cast("double").alias("z")),
+        )
+
+    atoms = F.when(newer, atoms_of(F.regexp_extract(joined, NEW_ATOMS, 1), NEW_ATOM_LINE, 1, 2)).otherwise(atoms_of(block, ATOM_LINE, 4, 1))
+    announced = F.when(newer, F.regexp_extract(joined, NEW_COUNTS, 1)).otherwise(F.trim(F.regexp_extract(text, COUNTS_LINE, 1))).try_cast("int")
     return (
         records.select(F.col(column).alias("record"), fields.alias("props"), atoms.alias("atoms"), announced.alias("announced"))
         .select(
@@ -70,7 +78,7 @@ def read_sdf_records(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", RECORD_MARK).text(path).withColumnRenamed("value", "record")
     # What is left of the mark's line goes; a file's first record has no such rest, but may begin with an empty title.
     tail = F.regexp_replace("record", r"^[ \t]*\r?\n", "")
-    titled = F.regexp_replace("record", "\r\n", "\n").rlike(COUNTS_LINE)
+    titled = F.regexp_replace("record", "\r\n", "\n").rlike(f"{COUNTS_LINE}|{NEW_BLOCK}")
     raw = raw.select(F.when(titled, F.col("record")).otherwise(tail).alias("record"))
     return parse_records(raw.filter(F.length(F.trim(F.regexp_replace("record", r"\s+", " "))) > 0))
 

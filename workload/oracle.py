@@ -297,6 +297,8 @@ ORACLE |= {
         UNION ALL SELECT 'nearest', 'rows', count(*)::DOUBLE FROM embeddings
         UNION ALL SELECT 'histogram', bin::VARCHAR, n::DOUBLE FROM ({ORACLE['validation_report']})""",
     "scale_robust_counted": ORACLE["scale_robust"],
+    "sdf_data_source": ORACLE["sdf_round_trip"],
+    "sdf_stream": ORACLE["conversion_report"],
 }
 ORACLE |= {
     f"{name}_blocked": ORACLE[name]

@@ -15,7 +15,7 @@ from coverset.operators import (
 )
 from coverset.plans import clustering, run as plan, selection, validation
 from coverset.session import attach, checkpoint_dir, materialise, spread
-from coverset.sources import library, records, stages
+from coverset.sources import library, records, sdf_source, stages
 from coverset.streaming import score
 
 EMB_CUTOFF = 1.15
@@ -590,7 +590,7 @@ def stage_round_trip(spark, sf):
 
 
 def _part_records(spark, sf):
-    """Parts as SDF text: ``p_size`` atoms each; parts sold as LARGE have no name, every SMALL one a wrong count."""
+    """Parts as SDF text: ``p_size`` atoms each; parts sold as LARGE have no name, every SMALL one a wrong count. Each third is a V3000 block."""
     part = table(spark, sf, "part")
     atoms = F.transform(
         F.sequence(F.lit(1), F.col("p_size")),
@@ -598,11 +598,24 @@ def _part_records(spark, sf):
     )
     announced = F.when(F.col("p_type") == "SMALL", F.col("p_size") + 1).otherwise(F.col("p_size"))
     name = F.when(F.col("p_type") == "LARGE", F.lit("")).otherwise(F.concat(F.lit("> <IDNUMBER>\n "), F.col("p_name"), F.lit(" \n\n")))
+    # Every fourth atom of a V3000 block goes on in a second line.
+    newer = F.transform(
+        F.sequence(F.lit(1), F.col("p_size")),
+        lambda i: F.format_string(
+            "M  V30 %d %s %.4f %s%.4f %.4f 0", i, F.when(i % 3 == 0, "O").when(i % 3 == 1, "C").otherwise("Cl"), i.cast("double"),
+            F.when(i % 4 == 0, F.lit("-\nM  V30 ")).otherwise(F.lit("")), i / 2.0, -i / 4.0,
+        ),
+    )
+    old = F.concat(F.format_string("%3d  0  0  0  0  0            999 V2000\n", announced), F.array_join(atoms, "\n"))
+    new = F.concat(
+        F.lit("  0  0  0     0  0            999 V3000\nM  V30 BEGIN CTAB\n"), F.format_string("M  V30 COUNTS %d 1 0 0 0\nM  V30 BEGIN ATOM\n", announced),
+        F.array_join(newer, "\n"), F.lit("\nM  V30 END ATOM\nM  V30 BEGIN BOND\nM  V30 1 1 1 2 CFG=1\nM  V30 END BOND\nM  V30 END CTAB"),
+    )
     return part.select(
         F.col("p_partkey").alias("id"),
         F.concat(
-            F.col("p_partkey").cast("string"), F.lit("\n  made\n\n"), F.format_string("%3d  0  0  0  0  0            999 V2000\n", announced),
-            F.array_join(atoms, "\n"), F.lit("\nM  END\n> <BRAND>\n"), F.col("p_brand"), F.lit("\n\n"), name,
+            F.col("p_partkey").cast("string"), F.lit("\n  made\n\n"), F.when(F.col("p_partkey") % 3 == 0, new).otherwise(old),
+            F.lit("\nM  END\n> <BRAND>\n"), F.col("p_brand"), F.lit("\n\n"), name,
         ).alias("record")
     )
 
@@ -615,6 +628,23 @@ def sdf_round_trip(spark, sf):
     return table_form.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("mol_weight"), 4).alias("weight"))
 
 
+def sdf_data_source(spark, sf):
+    """The same records through the data source, in splits of 64 KB."""
+    path = scratch(spark, "records") + ".sdf"
+    records.write_sdf_records(_part_records(spark, sf), path)
+    table_form = records.sdf_to_table(sdf_source.scan_sdf(spark, path, 1 << 16))
+    return table_form.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("mol_weight"), 4).alias("weight"))
+
+
+def sdf_stream(spark, sf):
+    """The same records arriving as files of a stream; the report over what was written."""
+    path, out, state = scratch(spark, "records") + ".sdf", scratch(spark, "parsed"), scratch(spark, "stream")
+    records.write_sdf_records(_part_records(spark, sf), path)
+    parsed = sdf_source.stream_sdf(spark, path).select("name", "is_valid")
+    parsed.writeStream.format("parquet").option("checkpointLocation", state).trigger(once=True).start(out).awaitTermination()
+    return records.conversion_report(spark.read.parquet(out))
+
+
 def conversion_report(spark, sf):
     return records.conversion_report(records.parse_records(_part_records(spark, sf)))
 
@@ -682,7 +712,7 @@ QUERIES = {
         inertia, intra_similarity, intra_similarity_tanimoto, quality_report, selection_spread, coverage_metrics,
         coverage_refined, coverage_tanimoto, property_compare, property_compare_quality, histogram_table, kde_table,
         similarity_stats, similarity_long, run_summary, sample_rows, validation_report, library_csv, subset_sink,
-        metrics_sink, stage_round_trip, sdf_round_trip, conversion_report, assign_stream, assign_stream_batches,
+        metrics_sink, stage_round_trip, sdf_round_trip, sdf_data_source, sdf_stream, conversion_report, assign_stream, assign_stream_batches,
         reduce_stream, flagship, subset_sink_sdf, pipeline_end_to_end, validation_report_full, kmeans_from_start, kmeans_minibatch, pca_full_rank,
     )
 }
