@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 
 from pyarrow import fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -142,6 +144,8 @@ class SdfSource(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
+    # Streams are planned by a process of the driver's that does not get shipped files: the classes travel themselves.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     attach(spark).dataSource.register(SdfSource)
     return spark
 
