@@ -48,7 +48,7 @@ def blocked(
     Both sides carry ``cell`` and ``id``. ``bounded_cells`` states that the
     number of cells is limited by construction, so their sizes may be broadcast.
     ``one_cell`` says that all rows share a cell: two counts replace the sizes.
-    ``once`` (with ``one_cell``, both sides one table) leaves out the mirror
+    ``once`` (both sides one table with the same cells) leaves out the mirror
     image of every block pair.
     """
     cores = max(left.sparkSession.sparkContext.defaultParallelism, 1)
@@ -116,6 +116,10 @@ class OneCell:
 
     right = left
 
+    def halves(self, df: DataFrame):
+        """``(left, right, cross)`` joins that see each unordered pair once: within cells, and (``cross``) between cells."""
+        return [(self.left(df), self.right(df), False)]
+
     def owned(self, cell: int, a, b) -> np.ndarray | None:
         return None
 
@@ -166,9 +170,16 @@ class BitCells:
         return df.withColumn("cell", F.explode(self._cells(F.col("_band")))).drop("_band")
 
     def right(self, df: DataFrame) -> DataFrame:
-        df = self._ranked(df)
         own = self.band(F.size("item"), self.similar)
-        df = df.withColumn("_band", F.explode(F.array(own - 1, own, own + 1)))
+        return self._in_bands(df, F.array(own - 1, own, own + 1))
+
+    def halves(self, df: DataFrame):
+        """Rows meet those of their own band, and those of the next one."""
+        own = self.band(F.size("item"), self.similar)
+        return [(self.left(df), self.left(df), False), (self.left(df), self._in_bands(df, F.array(own - 1)), True)]
+
+    def _in_bands(self, df: DataFrame, bands: Column) -> DataFrame:
+        df = self._ranked(df).withColumn("_band", F.explode(bands))
         df = df.filter(F.col("_band").isin(self.existing))
         return df.withColumn("cell", F.explode(self._cells(F.col("_band")))).drop("_band")
 

@@ -182,6 +182,32 @@ def reference_space_long(
     return items.mapInArrow(run, schema)
 
 
+# Values of the reference space that a task holds at a time.
+SPACE_VALUES = 1 << 22
+
+
+def _space_rows(items: DataFrame, refs: pa.Table, metric: str) -> DataFrame:
+    """``(id, features)`` map-side: some rows against one tile of references after the other, straight into the array."""
+    m = metric_named(metric)
+    shared = items.sparkSession.sparkContext.broadcast(refs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, n = m.load(shared.value["item"]), shared.value.num_rows
+        rows = max(1, min(TILE, SPACE_VALUES // max(n, 1)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                a = m.load(part.column("item"))
+                out = np.empty((part.num_rows, n))
+                for at in range(0, n, TILE):
+                    some = m.take(b, np.arange(at, min(at + TILE, n)))
+                    out[:, at : at + TILE] = m.matrix(a, some) if metric == "euclidean" else m.similarity(a, some)
+                ends = pa.array(np.arange(0, out.size + 1, n, dtype=np.int32) if n else np.zeros(part.num_rows + 1, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))], names=["id", "features"])
+
+    return items.select("id", "item").mapInArrow(run, "id long, features array<double>")
+
+
 def reference_space(
     df: DataFrame,
     refs: DataFrame,
@@ -191,16 +217,26 @@ def reference_space(
     ref_id_col: str | None = None,
     ref_item_col: str | None = None,
     rescale: bool = False,
+    broadcast_limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(id, features)``: similarity to each reference, in reference id order.
 
+    References under ``broadcast_limit`` bytes are sent to every task, which
+    writes the rows' arrays itself: nothing is shuffled. Repeated ids are a row each time then.
+
     With ``metric="euclidean"`` similarities are distances rescaled over the
     whole result, ``1 - d / max(d)``; for the other metrics ``rescale`` does the
     same with ``1 - similarity``.
     """
-    long = reference_space_long(df, refs, metric, id_col, item_col, ref_id_col, ref_item_col)
-    wide = long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ref_id", "value"))).alias("pairs"))
-    wide = wide.select("id", F.transform("pairs", lambda p: p["value"]).alias("features"))
+    items = as_items(df, id_col, item_col, metric)
+    points = as_items(refs, ref_id_col or id_col, ref_item_col or item_col, metric)
+    table = small_refs(points, broadcast_limit)
+    if table is not None:
+        wide = _space_rows(items, table.sort_by("id"), metric)
+    else:
+        long = reference_space_long(df, refs, metric, id_col, item_col, ref_id_col, ref_item_col, broadcast_limit)
+        wide = long.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ref_id", "value"))).alias("pairs"))
+        wide = wide.select("id", F.transform("pairs", lambda p: p["value"]).alias("features"))
     if metric != "euclidean" and not rescale:
         return wide
     if metric != "euclidean":

@@ -70,17 +70,18 @@ def within(
     reduce: Reduce,
     schema: str,
     block_rows: int | None = None,
-    symmetric: bool = False,
 ) -> DataFrame:
     """Apply ``reduce`` to the close pairs of every block pair.
 
     ``reduce(left, right, i, j, d)`` gets the positions and distances of the
     pairs with ``d <= cutoff`` and different ids, and returns output columns.
-    Each ordered pair is seen exactly once. ``symmetric`` says that both sides
-    are one table and ``reduce`` wants each unordered pair: where all rows share
-    a cell, a block pair is then compared in one order only, and the left side
-    has a column ``turned``.
+    Each ordered pair is seen exactly once.
     """
+    return _placed(cells.left(left), cells.right(right), cells, metric, cutoff, reduce, schema, block_rows)
+
+
+def _placed(left, right, cells, metric: str, cutoff: float, reduce: Reduce, schema: str, block_rows: int | None, once: bool = False) -> DataFrame:
+    """``within`` for rows that have their cells already."""
     m = metric_named(metric)
     owner = cells.owned
 
@@ -101,16 +102,12 @@ def within(
             i, j, d = i[keep], j[keep], d[keep]
         return pa.table(reduce(x, y, i, j, d))
 
-    first = cells.left(left)
-    once = symmetric and cells.single
-    if once:
-        first = first.withColumn("turned", F.lit(True))
-    return blocked(first, cells.right(right), kernel, schema, cells.bounded, block_rows, cells.single, once)
+    return blocked(left, right, kernel, schema, cells.bounded, block_rows, cells.single, once)
 
 
 def _edges(x, y, i, j, d):
     a, b = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-    if "turned" in x.column_names and x["left_block"][0] != x["right_block"][0]:
+    if "cross" in x.column_names and (x["cross"][0].as_py() or x["left_block"][0] != x["right_block"][0]):
         # This block pair stands for its mirror image too.
         low, high = np.minimum(a, b), np.maximum(a, b)
         one, two = x["copies"].to_numpy()[i], y["copies"].to_numpy()[j]
@@ -129,8 +126,18 @@ PAIRS = "id_a long, id_b long, dist double, copies_a long, copies_b long"
 
 
 def close_pairs(groups: DataFrame, cells, metric: str, cutoff: float, block_rows: int | None = None) -> DataFrame:
-    """``(id_a, id_b, dist, copies_a, copies_b)`` for the pairs of distinct items of a ``copy_groups`` table, each once."""
-    return within(groups, groups, cells, metric, cutoff, _edges, PAIRS, block_rows, symmetric=True)
+    """``(id_a, id_b, dist, copies_a, copies_b)`` for the pairs of distinct items of a ``copy_groups`` table, each once.
+
+    Cells that know their rows' order compare a block pair in one order only.
+    """
+    halves = cells.halves(groups)
+    if halves is None:
+        return within(groups, groups, cells, metric, cutoff, _edges, PAIRS, block_rows)
+    found = None
+    for left, right, cross in halves:
+        one = _placed(left.withColumn("cross", F.lit(cross)), right, cells, metric, cutoff, _edges, PAIRS, block_rows, not cross)
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def neighbours(

@@ -242,6 +242,9 @@ class TreeCells:
     def right(self, df: DataFrame) -> DataFrame:
         return self.tree.visit(df, self.reach)
 
+    def halves(self, df: DataFrame) -> None:
+        """Rows are copied into other cells than their home: both orders are needed."""
+
     @staticmethod
     def owned(cell: int, a, b) -> np.ndarray | None:
         return None

@@ -297,6 +297,8 @@ ORACLE |= {
         UNION ALL SELECT 'nearest', 'rows', count(*)::DOUBLE FROM embeddings
         UNION ALL SELECT 'histogram', bin::VARCHAR, n::DOUBLE FROM ({ORACLE['validation_report']})""",
     "scale_robust_counted": ORACLE["scale_robust"],
+    "pca_range_full": f"""WITH {EMB}, m AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) GROUP BY i))
+        SELECT id, round(list_distance(v, m), 6) AS norm FROM emb, m""",
     "sdf_data_source": ORACLE["sdf_round_trip"],
     "sdf_stream": ORACLE["conversion_report"],
 }

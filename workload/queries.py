@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coverset.functions import arrays, featurize as feat, filters, fingerprints, metrics, shape, text
 from coverset.operators import (
-    assignment, butina as butina_op, coverage as cov, density, distributions as dist, kmeans as km, knn, minibatch,
+    assignment, butina as butina_op, coverage as cov, density, distributions as dist, kmeans as km, knn, minibatch, range_pca,
     maxmin as mm, nearest as near, neighbours as nb, quality, reduction, representatives as reps, scaling,
 )
 from coverset.plans import clustering, run as plan, selection, validation
@@ -252,6 +252,22 @@ def pca_variance(spark, sf):
     return reducer.variance_table(spark)
 
 
+def pca_range_full(spark, sf):
+    """The range finder with all 64 components keeps every row's distance from the mean."""
+    rows = emb(spark, sf)
+    placed = range_pca.range_pca(rows, 64, 64).transform(rows, name="pc")
+    return placed.select("id", F.round(F.sqrt(F.aggregate("pc", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
+
+
+def pca_fingerprints(spark, sf):
+    """Components of the documents' wide sparse fingerprints: share of the variance, and the variance of the projected rows next to it."""
+    rows = docs(spark, sf)
+    fitted = range_pca.range_pca(rows, 5, 1024, sparse=True)
+    shares = spark.createDataFrame([(k, r) for k, r in enumerate(fitted.ratios)], "pos long, ratio double")
+    placed = fitted.transform(rows, name="pc").select(F.posexplode("pc").alias("pos", "x")).groupBy("pos").agg(F.var_pop("x").alias("variance"))
+    return placed.join(shares, "pos").select(F.col("pos").cast("long").alias("pos"), F.round("ratio", 6).alias("ratio"), F.round("variance", 4).alias("variance"))
+
+
 def pca_reduced_spread(spark, sf):
     """Variance of each kept component of the transformed rows, next to the share it explains."""
     rows = emb(spark, sf)
@@ -705,7 +721,7 @@ QUERIES = {
         fingerprint_dense, text_counts, array_stats, point_shape, combine_blocks, featurize_rows, pairs_tanimoto_within,
         pairs_euclid_within, pairs_cosine_within, neighbour_counts, nearest_euclid, nearest_euclid_partitioned,
         nearest_tanimoto, k_nearest, nearest_summary, reference_space, reference_space_cosine, reference_space_rescaled,
-        sql_metrics, pca_variance, pca_reduced_spread, projection_table, butina_euclid, butina_tanimoto, kmeans_sizes,
+        sql_metrics, pca_variance, pca_range_full, pca_fingerprints, pca_reduced_spread, projection_table, butina_euclid, butina_tanimoto, kmeans_sizes,
         assign_label_centers, maxmin_exact, maxmin_tanimoto, density_cluster, reps_medoid, reps_first, reps_random,
         reps_nearest_center, reps_nearest_mean, labels_from_picks, cluster_lists, select_by_maxmin, select_by_butina,
         select_by_kmeans, select_by_density, cluster_status, silhouette, davies_bouldin, calinski_harabasz, cluster_sizes,
