@@ -352,3 +352,36 @@ def test_pipeline_survives_empty_tables(spark):
         for name, stage in pipeline.STAGES:
             docs = stage(spark, docs, sf)
         assert docs.count() <= count
+
+
+def test_views_of_quality_are_separate_and_every_row_may_teach(spark):
+    """The page view sees no text; an unlabelled row anywhere in the table can become a lesson."""
+    a, b = quality.page_view("s", "en", 5), quality.page_view("s", "en", None)
+    assert a.shape == b.shape and not np.array_equal(a, b)
+    assert quality.content_view("").shape == quality.content_view("Some text.\nMore").shape
+    rng = np.random.default_rng(4)
+    content, page = rng.normal(size=(400, 6)), rng.normal(size=(400, 3))
+    y = (content[:, 0] > 0).astype(int)  # the page view knows nothing
+    state = quality.CoTraining(content[:200], page[:200], y[:200], np.arange(200) % 4 == 0)
+    teachers = state.teachers()
+    sure = []
+    for v, x in enumerate((content, page)):
+        model, calibration = teachers[v]
+        raw = np.clip(quality.logistic(model, x[200:]), 1e-6, 1 - 1e-6)
+        p = quality.logistic(calibration, np.log(raw / (1 - raw))[:, None])
+        sure.append(int((np.maximum(p, 1 - p) >= quality.CONFIDENT).sum()))
+    assert sure[0] > 20 and sure[1] == 0
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(200)), pa.array(range(200)), pa.array(content[200:].tolist(), pa.list_(pa.float32())), pa.array(page[200:].tolist(), pa.list_(pa.float32()))],
+        names=["row", "tie", "content", "page"],
+    )
+    run = quality._surest(teachers, [set(), {3, 5}], (4, 7))
+    parts = [run(iter([batch.slice(k, 50)])) for k in range(0, 200, 50)]
+    rows = [r for part in parts for made in part for r in made.to_pylist()]
+    assert {r["teacher"] for r in rows} == {0} and not {3, 5} & {r["row"] for r in rows}
+    for mark, each in ((0, 4), (1, 7)):
+        mine = sorted((r["sure"] for r in rows if r["mark"] == mark), reverse=True)
+        whole = [r["sure"] for made in run(iter([batch])) for r in made.to_pylist() if r["mark"] == mark]
+        assert len(whole) == each and mine[:each] == sorted(whole, reverse=True)
