@@ -20,7 +20,7 @@ BASE = 0x3C6EF372FE94F82BA54FF53A5F1D36F1
 ROOT = bytes(16)
 
 # Member rows of a subtree that one shard takes whole, rows gathered into one table, nodes of a band of the upper trie.
-UNIT_ROWS = (4_096, 65_536)
+UNIT_ROWS = (512, 65_536)
 SHARD_ROWS = 65_536
 BAND_ROWS = 1_000_000
 # Ids in one chunk of the text that is hashed for a node.
