@@ -24,7 +24,8 @@ from coverset.session import lookup_join, materialise
 
 MIN_BLOCK, MAX_BLOCK = 256, 2048
 MAX_UNIVERSE = 65_536
-PREFIX_SHIFT = 20
+# Room for any 31-bit position in the lower part of a cell's number; the size band is above.
+PREFIX_SHIFT = 32
 
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
@@ -235,8 +236,6 @@ def cells_for(items: DataFrame, metric: str, cutoff: float, block_rows: int | No
             ranks = [0] * (top + 1)
             for place, bit in enumerate(order):
                 ranks[bit] = place
-        elif top >= MAX_UNIVERSE * 8:
-            split = []
         return BitCells(cutoff, ranks, sorted(split), sorted(bands))
     if not math.isfinite(m.bound_cutoff(cutoff)):
         return OneCell()

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from coverset.functions.metrics import as_items, metric_named
 from coverset.operators.assignment import seeded_order
-from coverset.session import checkpoint_dir, discard, materialise
+from coverset.session import checkpoint_dir, discard_path, materialise
 
 POOL_ROWS = 2048
 STEP = 64
+# A larger table is cut into zones of about so many rows, at most so many zones.
+ZONE_ROWS, MAX_ZONES = 20_000, 64
 RESULT = "id long, pick_order long, pick_dist double"
 
 
@@ -72,6 +74,79 @@ def _updated(state: DataFrame, metric: str, picks: pa.Table) -> DataFrame:
     return state.mapInArrow(run, state.schema)
 
 
+class Zones:
+    """The distances ``(id, item, dist)`` in zones around sample rows; a round rewrites only the zones that its picks can touch.
+
+    A pick lowers a distance in a zone only if it can be nearer to one of its
+    rows than the farthest of them is to its own pick: its distance to the
+    zone's pivot, less the zone's radius, is a lower bound. Each zone's files
+    are those of the last round that wrote it. A small table is one zone.
+    """
+
+    def __init__(self, items: DataFrame, metric: str, first: pa.Table, zone_rows: int = ZONE_ROWS):
+        self.metric, self.spark = metric_named(metric), items.sparkSession
+        self.root = os.path.join(checkpoint_dir(self.spark), f"coverset-zones-{uuid.uuid4().hex}")
+        n = min(MAX_ZONES, items.count() // zone_rows)
+        # At most MAX_ZONES rows.
+        pivots = items.orderBy(*seeded_order("id", 0)).limit(max(n, 1)).toArrow()
+        self.pivots = pivots.select(["item"])
+        self.round, self.files, self.rewritten = 0, {}, []
+        count = max(pivots.num_rows, 1)
+        self.radius, self.highest = np.zeros(count), np.full(count, -np.inf)
+        start = items.select("id", "item", F.lit(float("inf")).alias("dist"))
+        self.schema = start.schema
+        self._write(_updated(start, metric, first))
+
+    def _write(self, lowered: DataFrame) -> None:
+        m, shared = self.metric, self.spark.sparkContext.broadcast(self.pivots)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres = m.bound_space(m.load(shared.value["item"]))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 4096):
+                    part = batch.slice(lo, 4096)
+                    far = m.bound(m.bound_space(m.load(part.column("item"))), centres)
+                    zone = far.argmin(1)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(zone.astype(np.int32)), pa.array(far[np.arange(len(zone)), zone])], names=[*part.schema.names, "zone", "far"]
+                    )
+
+        path = f"{self.root}/{self.round:06d}"
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.schema.fields)
+        lowered.mapInArrow(place, f"{fields}, zone int, far double").write.partitionBy("zone").parquet(path)
+        old = [self.files.pop(z) for z in self.touched] if self.round else []
+        wrote = 0
+        if self.round:
+            self.highest[list(self.touched)] = -np.inf
+        for r in self.spark.read.schema(f"{fields}, far double, zone int").parquet(path).groupBy("zone").agg(F.count("*").alias("n"), F.max("dist").alias("high"), F.max("far").alias("far")).collect():
+            self.files[r.zone], self.highest[r.zone] = f"{path}/zone={r.zone}", r.high
+            self.radius[r.zone] = max(self.radius[r.zone], r.far)
+            wrote += r.n
+        self.rewritten.append(wrote)
+        for stale in old:
+            discard_path(self.spark, stale)
+        self.round += 1
+
+    def table(self, zones: list[int] | None = None) -> DataFrame:
+        paths = [self.files[z] for z in (sorted(self.files) if zones is None else zones)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def lower(self, picks: pa.Table) -> None:
+        """Take the new picks out and lower the distances that they are nearer to."""
+        m = self.metric
+        block, centres = m.bound_space(m.load(picks["item"])), m.bound_space(m.load(self.pivots["item"]))
+        far = m.bound(block, centres)
+        reach = np.array([m.bound_cutoff(max(h, 0.0)) if np.isfinite(h) else h for h in self.highest])
+        slack = 4.0 * m.slack(block, centres) + 1e-9
+        touched = ((far - self.radius[None, :]).min(0) <= reach + slack) | (np.bincount(far.argmin(1), minlength=far.shape[1]) > 0)
+        self.touched = sorted(z for z in self.files if touched[z])
+        if self.touched:
+            self._write(_updated(self.table(self.touched), m.name, picks))
+
+    def drop(self) -> None:
+        discard_path(self.spark, self.root)
+
+
 def maxmin(
     df: DataFrame,
     k: int,
@@ -81,6 +156,8 @@ def maxmin(
     id_col: str = "id",
     item_col: str = "item",
     pool_rows: int = POOL_ROWS,
+    zone_rows: int = ZONE_ROWS,
+    report: list[int] | None = None,
 ) -> DataFrame:
     """``(id, pick_order, pick_dist)``: ``k`` rows, each farthest from all picked before it.
 
@@ -91,12 +168,13 @@ def maxmin(
     takes its ``pool_rows`` farthest rows. Distances to picks only shrink, so the
     next pick is certain while the best pool row still beats the farthest row
     outside the pool: one round yields many exact picks. Only these new picks, at
-    most ``pool_rows``, travel to the tasks and lower the distances, so the work
-    is rows times ``k``; the picks themselves are appended to a table.
+    most ``pool_rows``, travel to the tasks and lower the distances, and only
+    in the zones that they can touch (``Zones``); the picks themselves are
+    appended to a table. ``report`` receives the rows that each round rewrote.
     """
     m = metric_named(metric)
     spark = df.sparkSession
-    items = as_items(df, id_col, item_col, metric)
+    items = materialise(as_items(df, id_col, item_col, metric))
     if start == "first":
         first = items.orderBy("id").limit(1)
     elif start == "random":
@@ -118,9 +196,9 @@ def maxmin(
         spark.createDataFrame(rows, RESULT).coalesce(1).write.mode("append").parquet(store)
 
     keep([(picks["id"][0].as_py(), 0, None)])
-    state, done = materialise(_updated(items.select("id", "item", F.lit(float("inf")).alias("dist")), metric, picks.select(["id", "item"]))), 1
+    state, done = Zones(items, metric, picks.select(["id", "item"]), zone_rows), 1
     while done < k:
-        top = state.orderBy(F.col("dist").desc(), "id").limit(pool_rows + 1).toArrow().sort_by([("dist", "descending"), ("id", "ascending")])
+        top = state.table().orderBy(F.col("dist").desc(), "id").limit(pool_rows + 1).toArrow().sort_by([("dist", "descending"), ("id", "ascending")])
         outside = None
         if top.num_rows > pool_rows:
             outside = (top["dist"][pool_rows].as_py(), top["id"][pool_rows].as_py())
@@ -132,8 +210,8 @@ def maxmin(
         done += len(chosen)
         if done < k:
             fresh = top.take([at for at, _, _ in chosen]).select(["id", "item"]).combine_chunks()
-            lowered = materialise(_updated(state, metric, fresh))
-            discard(state)
-            state = lowered
-    discard(state)
+            state.lower(fresh)
+    state.drop()
+    if report is not None:
+        report.extend(state.rewritten)
     return spark.read.schema(RESULT).parquet(store)

@@ -63,10 +63,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Remove the files of a table that ``materialise`` wrote and nothing reads any more."""
-    spark = table.sparkSession
     for path in {os.path.dirname(f) for f in table.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        discard_path(table.sparkSession, path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared one."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fits_broadcast(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
