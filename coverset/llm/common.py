@@ -67,12 +67,14 @@ def append(df: DataFrame, fields: str, compute: Callable[[list], list], inputs:
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in extra.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            made = compute([part.column(i).to_pylist() for i in places])
-            arrays = [pa.array(v, type=kind) for v, (_, kind) in zip(made, kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, *arrays], names=[*part.schema.names, *(n for n, _ in kinds)]
-            )
+        for batch in batches:
+            for part in slices(iter([batch])):
+                made = compute([part.column(i).to_pylist() for i in places])
+                arrays = [pa.array(v, type=kind) for v, (_, kind) in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *arrays], names=[*part.schema.names, *(n for n, _ in kinds)]
+                )
+            pa.default_memory_pool().release_unused()  # several workers share an executor's memory
 
     return df.mapInArrow(run, schema)
 

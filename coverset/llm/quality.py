@@ -152,6 +152,8 @@ def _surest(teachers: list, done: list[set], each: tuple[int, int]):
             n = held.num_rows
             made = pa.table({"teacher": pa.array([v] * n, pa.int32()), "mark": pa.array([mark] * n, pa.int32()), **{c: held[c] for c in held.column_names}})
             yield from made.combine_chunks().to_batches()
+        best.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
