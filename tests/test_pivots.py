@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from coverset.functions.metrics import metric_named
-from coverset.operators import knn, nearest as nr, pivots
+from coverset.operators import cells, knn, nearest as nr, pivots
 from coverset.operators.cells import OneCell
 from coverset.operators.knn import k_nearest
 from coverset.operators.neighbours import neighbours
@@ -86,3 +86,25 @@ def test_one_order_of_block_pairs(table, rows):
     assert sorted((r.id_a, r.id_b) for r in found) == [(a, b) for a in ids for b in ids if a < b and far[a, b] <= 2.0]
     copies = {r.id: r.copies for r in groups.collect()}
     assert all((r.copies_a, r.copies_b) == (copies[r.id_a], copies[r.id_b]) for r in found)
+
+
+def test_vectors_that_no_pivot_tells_apart_are_left_to_blocks(spark, table):
+    """Nearly equal distances: a search would copy every row to all leaves."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    loose = materialise(spark.createDataFrame(list(enumerate(x.tolist())), "id long, item array<double>"))
+    assert isinstance(cells.cells_for(loose, "euclidean", 1.15, 10), OneCell)  # cells of the tree before
+    assert isinstance(cells.cells_for(table, "euclidean", 0.05, 4), pivots.TreeCells)
+    found = k_nearest(loose, 3, block_rows=10).collect()
+    far = brute.euclid(x.tolist())
+    for a in range(0, 300, 17):
+        assert [r.other for r in sorted((r for r in found if r.id == a), key=lambda r: r.rank)] == [b for _, b in sorted((far[a, b], b) for b in range(300) if b != a)[:3]]
+
+
+def test_a_search_goes_down_a_few_rows_at_a_time(table, small_fan, monkeypatch):
+    monkeypatch.setattr(pivots, "STEP", 3)
+    tree = small_fan(table, metric_named("euclidean"), 12)
+    monkeypatch.setattr(pivots, "STEP", 512)
+    whole = small_fan(table, metric_named("euclidean"), 12)
+    assert tree.visit(table, 0.9).count() == whole.visit(table, 0.9).count()
