@@ -86,3 +86,14 @@ def test_both_blocks_batch_and_stream(spark, tmp_path):
     assert sdf_source.scan_sdf(spark, str(empty)).count() == 0
     with pytest.raises(Exception, match="nowhere"):
         sdf_source.scan_sdf(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_many_small_splits_become_wider_ranges(tmp_path, monkeypatch):
+    monkeypatch.setattr(sdf_source, "MANY_RANGES", 5)
+    path = tmp_path / "many.sdf"
+    path.write_text("".join(NEW.format(title=f"r{k}", n=2) + "$$$$\n" for k in range(90)))
+    reader = sdf_source.SdfReader({"path": str(path), "splitBytes": "64"})
+    parts = reader.partitions()
+    assert len(parts) <= 5  # one for each 64 bytes before
+    texts = [t for part in parts for (t,) in reader.read(part)]
+    assert [t.split("\n", 1)[0] for t in texts] == [f"r{k}" for k in range(90)]
