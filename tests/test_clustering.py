@@ -165,3 +165,23 @@ def test_assignment_helpers(spark, vec_tiny):
     assert from_lists(to_lists(found, list_rows=2)).count() == 6
     assert sample_rows(vec_tiny, 3).count() == 3
     assert sorted(r.id for r in sample_rows(vec_tiny, 3).collect()) == sorted(r.id for r in sample_rows(vec_tiny, 3).collect())
+
+
+def test_density_of_copies_and_by_a_searched_tree(spark, monkeypatch):
+    """Groups of copies enter as one row; the search goes down the tree; both give the plain result."""
+    from coverset.operators import density
+
+    rng = np.random.default_rng(8)
+    blobs = [rng.normal(c, s, size=(n, 2)) for c, s, n in (((0, 0), 0.4, 14), ((5, 5), 0.5, 12), ((5, -4), 0.3, 10))]
+    points = np.vstack(blobs + [np.array([[9.0, 9.0], [9.3, 9.0], [-7.0, 2.0]]), rng.uniform(-9, 9, size=(8, 2))])
+    rows = np.repeat(points, rng.choice([1, 1, 2, 7, 9], len(points)), axis=0)
+    rows = rows[rng.permutation(len(rows))].tolist()
+    expected = brute.density(brute.euclid(rows), 5, 4)
+    assert len(set(expected.tolist())) > 3
+    searched, merged, compared = [], density.spanning_tree, []
+    monkeypatch.setattr(density, "prunes", lambda *a, **k: searched.append(1) or True)
+    monkeypatch.setattr(density, "spanning_tree", lambda points, near, block, edges: compared.append(points.count()) or merged(points, near, block, edges))
+    found = density.density_cluster(table(spark, rows), 5, 4, block_rows=24)
+    got = {r.id: r.cluster_id for r in found.collect()}
+    assert brute.same_partition([got[i] for i in range(len(rows))], expected.tolist())
+    assert searched and compared[0] < len(rows)
