@@ -25,6 +25,10 @@ HASHES, MINIMA = 16_384, 512
 PAIRS, MANY_PAIRS = 200_000, 4_000_000
 # Similarity of near copies, and texts of one candidate group kept together in a task while it is computed.
 SIMILARITY, TEXT_ROWS = 0.8, 128
+# Fingerprints of shingle sets that say which texts are compared: planes, bits of a band, differing bits of a band and in all.
+# At a similarity of 0.8 a bit differs with probability 0.151 (58 of 384): 1 - (1 - P(Binomial(17, 0.151) <= 1)) ** 22 = 0.998
+# of the pairs meet in a band, and 0.999 are within 80 bits (three standard deviations above).
+SET_PLANES, SET_BAND, SET_RADIUS, SET_BITS = 6, 17, 1, 80
 # A candidate agrees in all minima of one band: 1 - (1 - 0.8 ** 4) ** 20 = 0.99996 of the pairs at 0.8 are compared.
 BANDS, BAND_MINIMA = 20, 4
 # Odd multipliers and offsets that derive the orders of the minima from a shingle's hash (fixed values).
@@ -79,11 +83,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(
-    docs: DataFrame, shingle: int = 5, planes: int = 1, id_col: str = "doc_id", text_col: str = "text", texts: bool = False
+    docs: DataFrame, shingle: int = 5, planes: int = 1, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, sets_only: bool = False
 ) -> DataFrame:
     """``(doc_id, fp)`` with ``fp`` an array of ``planes`` longs. Null and word-less texts get zero.
 
     With ``texts`` also ``node``, the hash of the text's set of shingles, its band keys and the text.
+    With ``sets_only`` a repeated shingle counts once, and there are no band keys.
     """
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
@@ -92,10 +97,12 @@ def fingerprints(
             made, sets, keys = [], [], []
             for text in part.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
+                if sets_only:
+                    hashes = np.unique(hashes)
                 made.append(fingerprint(hashes, planes))
                 if texts:
                     sets.append(set_hash(hashes))
-                    keys.append(band_keys(hashes))
+                    keys.append(None if sets_only else band_keys(hashes))
             flat = np.array(made, np.uint64).reshape(-1).view(np.int64)
             ends = np.arange(len(made) + 1, dtype=np.int32) * planes
             columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
@@ -121,6 +128,11 @@ def pigeonhole(bits: int, distance: int, segments: int) -> list[tuple[int, int,
     return list(zip(starts, widths, radii))
 
 
+def bands(bits: int, width: int, radius: int) -> list[tuple[int, int, int]]:
+    """Equal segments over a long fingerprint: a pair is met when one segment differs in at most ``radius`` bits."""
+    return [(s, width, radius) for s in range(0, bits - width + 1, width)]
+
+
 def _parts(width: int, radius: int) -> list[tuple[int, int]]:
     """``radius + 1`` parts of a segment: one of them is equal in any two values within ``radius`` bits."""
     cuts = np.linspace(0, width, radius + 2).astype(int)
@@ -391,11 +403,14 @@ def near_duplicates(
     text_col: str = "text",
     block_rows: int = BLOCK_ROWS,
     similarity: float = SIMILARITY,
+    verify: bool = False,
 ) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row for each row of ``docs``.
 
     With a ``distance`` two documents link when their fingerprints differ in at
-    most that many bits. Without one they link when the Jaccard similarity of
+    most that many bits; with ``verify`` too those are the fingerprints of the sets
+    of distinct shingles, and candidates only: documents link when the Jaccard similarity of
+    these sets is ``similarity`` or more, computed from the texts of every group of candidates. Without one they link when the Jaccard similarity of
     their sets of distinct shingles is ``similarity`` or more, computed from the
     texts. Which texts are compared is said by the least shingles in
     ``BANDS * BAND_MINIMA`` orders: a pair of similarity s shares a band with
@@ -416,8 +431,8 @@ def near_duplicates(
         if planes != 1:
             raise ValueError("fingerprints of more than 64 bits need a layout")
         layout = pigeonhole(64, distance, 3)
-    made = fingerprints(docs, shingle, planes, id_col, text_col, texts=exact)
-    if not exact:
+    made = fingerprints(docs, shingle, planes, id_col, text_col, texts=exact or verify, sets_only=verify and not exact)
+    if not exact and not verify:
         # A fingerprint's node is itself, or its hash where it is longer than a long.
         made = made.withColumn("node", F.element_at("fp", 1) if planes == 1 else F.xxhash64("fp"))
     made = materialise(made)
@@ -426,6 +441,8 @@ def near_duplicates(
         edges = verified(made, components(candidates(made)), shingle, similarity)
     else:
         edges = links(nodes, layout, distance, block_rows)
+        if verify:
+            edges = verified(made, components(edges), shingle, similarity)
     several = made.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("one"), F.max("node").alias("two")).filter("one <> two")
     shared = materialise(made.select("doc_id", "node").join(several.select("doc_id"), "doc_id", "left_semi").distinct())
     hub = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
@@ -440,10 +457,13 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without near duplicates: of each group the document with the smallest id stays.
 
-    Rows that repeat an id stand or fall together; a row without an id stays.
+    Unless a ``distance`` is given, SimHash fingerprints of the shingle sets say
+    which texts are compared and these must be similar (``verify``). Rows that
+    repeat an id stand or fall together; a row without an id stays.
     """
     if "distance" not in options:
-        options.setdefault("planes", 0)  # no fingerprint is looked at
+        layout = bands(64 * SET_PLANES, SET_BAND, SET_RADIUS)
+        options = {"planes": SET_PLANES, "distance": SET_BITS, "layout": layout, "verify": True, **options}
     found = near_duplicates(docs, id_col=id_col, **options)
     gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct())
     # Ids only, and only of copies; counted before they are broadcast.

@@ -130,6 +130,15 @@ def test_pairs_at_the_similarity_are_met(spark):
     assert [got[d] for d, _ in rows] == [rows[k][0] for k in want] and sum(k != i for i, k in enumerate(want)) == 501
 
 
+def test_kept_documents_are_found_by_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: [][0])
+    texts = changed_texts(9, (0.8,), 500, 60) + changed_texts(10, (0.6, 0.7, 0.79), 20) + ["", "one two", "one  TWO"]
+    rows = list(enumerate(texts))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {k for k, root in enumerate(plain_similar(texts)) if k == root}
+    assert want <= kept and len(kept - want) <= 5
+
+
 def test_blocks_of_a_candidate_group_lose_no_link(spark):
     rng = np.random.default_rng(6)
     now, texts = [f"w{k}" for k in range(120)], []
