@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverset.functions.metrics import Bitmaps, align_sets, metric_named, pack_sets
-from coverset.operators import quality, representatives as reps
+from coverset.operators import distributions as dist, quality, representatives as reps
 
 
 def _sets(rng, n, top=300):
@@ -69,3 +69,20 @@ def test_a_cluster_is_compared_in_one_order(spark):
     plan = reps.similarity_sums(rows, "tanimoto", 300)
     text = plan._jdf.queryExecution().analyzed().toString()
     assert "sequence(cast(left_block" in text.replace(" ", "") or "sequence(left_block" in text.replace(" ", "")
+
+
+def test_pairs_are_counted_by_sizes(monkeypatch):
+    """Tiles of bitmaps against single pairs, with copies and with a block against itself."""
+    monkeypatch.setattr(Bitmaps, "TILE", 16)
+    rng, m = np.random.default_rng(5), metric_named("tanimoto")
+    one, two = _sets(rng, 50), _sets(rng, 37, 250)
+    a, b = (m.load(align_sets(pack_sets(pa.array(x, pa.list_(pa.int32()))))) for x in (one, two))
+    left, right = rng.integers(1, 4, len(one)), np.ones(len(two), np.int64)
+    shared, _ = _plain(one, two)
+    for copies, once in ((left, None), (np.ones(len(one), np.int64), None), (left, rng.random(shared.shape) < 0.5), (np.ones(len(one), np.int64), rng.random(shared.shape) < 0.5)):
+        want = {}
+        for i, j in zip(*np.nonzero(np.ones(shared.shape) if once is None else once)):
+            key = int(shared[i, j]), int(a.sizes[i] + b.sizes[j] - shared[i, j])
+            want[key] = want.get(key, 0) + int(copies[i])
+        made = dist._recounted(pa.concat_tables([dist._counted(a, b, copies, right, once)] * 2)).to_pylist()
+        assert {(r["shared"], r["whole"]): r["n"] for r in made} == {k: 2 * n for k, n in want.items()}
