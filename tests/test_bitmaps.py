@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverset.functions.metrics import Bitmaps, align_sets, metric_named, pack_sets
-from coverset.operators import distributions as dist, quality, representatives as reps
+from coverset.operators import distributions as dist, neighbours as nb, quality, representatives as reps
 
 
 def _sets(rng, n, top=300):
@@ -86,3 +86,22 @@ def test_pairs_are_counted_by_sizes(monkeypatch):
             want[key] = want.get(key, 0) + int(copies[i])
         made = dist._recounted(pa.concat_tables([dist._counted(a, b, copies, right, once)] * 2)).to_pylist()
         assert {(r["shared"], r["whole"]): r["n"] for r in made} == {k: 2 * n for k, n in want.items()}
+
+
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_neighbours_are_counted_by_tiles(monkeypatch, mirrored):
+    """The same counts as pair by pair, also where sizes alone settle a tile."""
+    monkeypatch.setattr(Bitmaps, "TILE", 8)
+    rng, m = np.random.default_rng(6), metric_named("tanimoto")
+    sets = [sorted(rng.choice(64, n, replace=False).tolist()) for n in sorted(rng.integers(1, 65, 90).tolist())]
+    made = align_sets(pack_sets(pa.array(sets, pa.list_(pa.int32()))))
+    x = pa.table({"id": np.arange(90), "item": made, "copies": rng.integers(1, 4, 90), "cross": np.full(90, mirrored), "left_block": np.zeros(90, int), "right_block": np.zeros(90, int)})
+    y = x.set_column(0, "id", pa.array(np.arange(40, 130)))
+    a, b = m.load(x["item"]), m.load(y["item"])
+    for cutoff in (0.1, 0.4, 1.0):
+        i, j, d = m.close(a, b, cutoff)
+        keep = x["id"].to_numpy()[i] != y["id"].to_numpy()[j]
+        pairs = nb._sum_copies(x, y, i[keep], j[keep], d[keep])
+        tiles = nb._tile_copies(m, a, b, x, y, cutoff)
+        assert all((pairs[c] == tiles[c]).all() for c in ("id", "n"))
+    assert any(shared is None for _, _, _, shared in m.near(a, b, 0.4))  # settled by sizes
